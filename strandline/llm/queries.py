@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import read_table
 from strandline.llm.exact_dedup import exact_dedup
+from strandline.llm.langid import identify_languages
 from strandline.llm.packing import pack_documents
 from strandline.llm.sharding import shard_documents
+from strandline.llm.toxicity import score_toxicity
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +20,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op7_toxicity, op8_language_id, op10_packing)}
 
 ORACLES = {
     "op4_exact_dedup": """
