@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +56,6 @@ def ranked(df: DataFrame, key: str, order: list[str], out: str, buckets: int = 2
     and the summed counts of the buckets before give the offset. The offsets are at most `buckets`
     rows a key. Rows that tie in `order` are numbered in any order.
     """
-    from pyspark.sql import Window
-
     df = df.withColumn("_b", spread(order, buckets))
     inner = Window.partitionBy(key, "_b").orderBy(*order)
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,3 +64,26 @@ def ranked(df: DataFrame, key: str, order: list[str], out: str, buckets: int = 2
     rows = df.withColumn("_r", F.row_number().over(inner))
     joined = rows.join(offsets, rows[key].eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_bb")), "left")
     return joined.withColumn(out, (F.col("_o") + F.col("_r") - 1).cast("long")).drop("_b", "_k", "_bb", "_o", "_r")
+
+
+def with_text_columns(df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], schema: str) -> DataFrame:
+    """Adds the columns of `schema`, computed from the last column of `df`, a string, which goes; the other columns pass as they are.
+
+    `make` is called once a task and gives a function from a list of texts (null as "") to the new columns.
+    """
+    *kept, text = df.schema.fields
+    added = StructType.fromDDL(schema)
+    types = [to_arrow_type(f.dataType) for f in added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            new = compute([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
+            columns = [*batch.columns[:-1], *(pa.array(new[f], t) for f, t in zip(names, types, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f"c{i}" for i in range(len(columns) - len(names))), *names])
+
+    names = [f.name for f in added]
+    # numbers instead of names inside: names may clash with one another or with the new ones
+    plain = df.toDF(*[f"c{i}" for i in range(len(kept))], "t")
+    out = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)] + list(added))
+    return plain.mapInArrow(run, out).toDF(*[f.name for f in kept], *names)

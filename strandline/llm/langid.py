@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import in_sample, sample_share
+from strandline.llm.common import in_sample, sample_share, with_text_columns
 
 BUCKETS = 1 << 16
 ROWS_A_LANGUAGE = 2000
@@ -19,7 +18,6 @@ MOST_LANGUAGES = 200
 LARGEST_SET = 3
 BLOCK_CHARS = 1_500_000
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -127,38 +125,39 @@ def proportions(texts: list[str], model: LanguageModel, letters: np.ndarray, rou
 
 
 def _predicted(model: LanguageModel):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         letters = letters_below()
-        names = np.array([*model.languages, UNDETERMINED], object)
-        for batch in batches:
-            texts = [(t or "").lower() for t in batch["text"]]
-            shares = []
+
+        def compute(texts: list[str]) -> dict[str, list]:
+            texts = [t.lower() for t in texts]
+            found: list[str] = []
+            score: list[float] = []
             at = 0
             while at < len(texts):
                 end, chars = at, 0
                 while end < len(texts) and (end == at or chars + len(texts[end]) <= BLOCK_CHARS):
                     chars += len(texts[end])
                     end += 1
-                shares.append(proportions(texts[at:end], model, letters))
+                for shares in proportions(texts[at:end], model, letters):
+                    best = int(shares.argmax()) if len(shares) else 0
+                    known = len(shares) > 0 and shares[best] > 0
+                    found.append(model.languages[best] if known else UNDETERMINED)
+                    score.append(min(1.0, float(shares[best])) if known else 0.0)
                 at = end
-            pi = np.vstack(shares) if shares else np.zeros((0, len(model.languages)))
-            known = pi.any(axis=1) if pi.size else np.zeros(len(texts), bool)
-            best = pi.argmax(axis=1) if pi.shape[1] else np.zeros(len(texts), int)
-            score = np.where(known, pi.max(axis=1) if pi.shape[1] else 0.0, 0.0)
-            yield batch.drop(columns="text").assign(lang_pred=np.where(known, names[np.where(known, best, -1)], UNDETERMINED), score=np.clip(score, 0, 1))
+            return {"lang_pred": found, "score": score}
+
+        return compute
 
-    return run
+    return make
 
 
-def predict(documents: DataFrame, model: LanguageModel, keep: list[Column]) -> DataFrame:
-    """The columns `keep`, lang_pred and score for every row; only the text decides.
+def predict(rows: DataFrame, model: LanguageModel) -> DataFrame:
+    """The columns of `rows` but the last, the text, and lang_pred and score for every row; only the text decides.
 
     score is the share of the predicted language among the document's words. Null, empty and letterless
     texts are `und` with score 0; so is everything where nothing could be learned.
     """
-    rows = documents.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInPandas(_predicted(model), f"{schema}, lang_pred string, score double")
+    return with_text_columns(rows, _predicted(model), "lang_pred string, score double")
 
 
 def held_out(modulus: int, remainder: int) -> Column:
@@ -169,7 +168,7 @@ def held_out(modulus: int, remainder: int) -> Column:
 def identify_languages(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score; see `predict`. Null ids are never learned from."""
     model = fit(documents.where(F.col("doc_id").isNotNull() & ~held_out(4, 2)).select("doc_id", "text", "lang"))
-    return predict(documents, model, [F.col("doc_id"), held_out(4, 2).alias("held_out")])
+    return predict(documents.select("doc_id", held_out(4, 2).alias("held_out"), "text"), model)
 
 
 def keep_identified(documents: DataFrame, least: float = 0.5) -> DataFrame:
@@ -178,7 +177,5 @@ def keep_identified(documents: DataFrame, least: float = 0.5) -> DataFrame:
     Goes: texts without letters, and texts in which no language has that share.
     """
     model = fit(documents.where(F.col("doc_id").isNotNull() & ~held_out(4, 2)).select("doc_id", "text", "lang"))
-    rows = documents.select(F.struct("*").alias("row"), "text")
-    found = rows.select(*[F.col("row")[c].alias(f"c{i}") for i, c in enumerate(documents.columns)], "text")
-    told = predict(found, model, [F.col(f"c{i}") for i in range(len(documents.columns))])
-    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns)])
+    told = predict(documents.select(F.struct("*").alias("row"), "text"), model)
+    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")

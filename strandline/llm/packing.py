@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def tokenizer_path() -> str:
 def _pieces(path: str | None, capacity: int, cache_size: int):
     """Pieces of each document. Texts split at blanks and line ends, where every token ends; words repeat, so their ids are kept."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         import sys
 
@@ -46,7 +47,7 @@ def _pieces(path: str | None, capacity: int, cache_size: int):
         encode, ids = kept["encode"], kept["ids"]
         end = np.uint32(END_ID).tobytes()
         for batch in batches:
-            texts = [(t or "").replace("\n", " ").split(" ") for t in batch["text"]]
+            texts = [(t or "").replace("\n", " ").split(" ") for t in batch.column(1).to_pylist()]
             missing = list({w for words in texts for w in words}.difference(ids))
             if len(ids) + len(missing) > cache_size:
                 ids.clear()
@@ -54,20 +55,22 @@ def _pieces(path: str | None, capacity: int, cache_size: int):
             for first in range(0, len(missing), 20_000):
                 part = missing[first : first + 20_000]
                 ids.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encode(part, add_special_tokens=False)), strict=True))
-            out = []
-            for doc_id, words in zip(batch["doc_id"], texts, strict=True):
+            of, out = [], []
+            for row, words in enumerate(texts):
                 data = b"".join(map(ids.__getitem__, words)) + end
                 for piece, start in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[start : start + 4 * capacity]
-                    out.append((doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                    of.append(row)
+                    out.append((piece, start // 4, len(part) // 4, zlib.crc32(part)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *columns], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
 
 def token_pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document."""
-    return documents.select("doc_id", "text").mapInPandas(_pieces(tokenizer, capacity, CACHE), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(tokenizer, capacity, CACHE), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
@@ -218,13 +221,14 @@ def _seated(table: pd.DataFrame):
     keys = (table["length"].to_numpy(np.int64) << shift) + table["lo"].to_numpy(np.int64)
     columns = {c: table[c].to_numpy(np.int64) for c in ("lo", "copies", "first", "place")}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = batch["length"].to_numpy(np.int64), batch["rank"].to_numpy(np.int64)
+            length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
             at = np.searchsorted(keys, (length << shift) + rank, side="right") - 1
             nth = rank - columns["lo"][at]
             copies = columns["copies"][at]
-            yield batch.drop(columns="rank").assign(sequence_id=columns["first"][at] + nth // copies, offset=columns["place"][at] + nth % copies * length)
+            seats = [columns["first"][at] + nth // copies, columns["place"][at] + nth % copies * length]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, seats)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
     return run
 
@@ -240,4 +244,4 @@ def pack_documents(documents: DataFrame, tokenizer: str | None = None, capacity:
     pieces = cut_lineage(token_pieces(documents, tokenizer, capacity))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     table = pack_histogram(histogram, capacity)
-    return ranked(pieces, "length", ["doc_id", "piece", "ids_crc32"], "rank").mapInPandas(_seated(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked(pieces, "length", ["doc_id", "piece", "ids_crc32"], "rank").mapInArrow(_seated(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

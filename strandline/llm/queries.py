@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import read_table
 from strandline.llm.exact_dedup import exact_dedup
+from strandline.llm.extraction import extract_pages
 from strandline.llm.langid import identify_languages
 from strandline.llm.packing import pack_documents
+from strandline.llm.pii import find_personal_data
 from strandline.llm.sharding import shard_documents
 from strandline.llm.toxicity import score_toxicity
 
@@ -16,6 +18,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op3_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -28,11 +34,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op7_toxicity, op8_language_id, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_extraction, op4_exact_dedup, op7_toxicity, op8_language_id, op9_pii, op10_packing)}
 
 ORACLES = {
     "op4_exact_dedup": """
