@@ -12,6 +12,12 @@ from strandline.llm.packing import pack_documents
 from strandline.llm.pii import find_personal_data
 from strandline.llm.sharding import shard_documents
 from strandline.llm.toxicity import score_toxicity
+from strandline.llm.url_filter import captures_of, entries_of, filter_captures
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return filter_captures(captures_of(pages), entries_of(pages))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +48,34 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_extraction, op4_exact_dedup, op7_toxicity, op8_language_id, op9_pii, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_extraction, op4_exact_dedup, op7_toxicity, op8_language_id, op9_pii, op10_packing)}
 
 ORACLES = {
+    "op1_url_filter": r"""
+        WITH captures AS (
+            SELECT page_id, url, DATE '2023-01-01' + CAST((page_id * 37) % 1096 AS INTEGER) AS fetched_on,
+                   lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]*)', 1)) AS host,
+                   lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS path
+            FROM pages
+        ), hosts AS (
+            SELECT DISTINCT host, string_split(path, '/')[2] AS section, CAST('0x' || substr(md5(host), 1, 8) AS BIGINT) AS c FROM captures WHERE host <> ''
+        ), dated AS (
+            SELECT *, DATE '2023-01-01' + CAST(c % 700 AS INTEGER) AS d, regexp_replace(host, '^[^.]*[.]', '') AS parent FROM hosts
+        ), entries AS (
+            SELECT 'host' AS kind, host AS pattern, d AS valid_from, d + 90 AS valid_to FROM dated WHERE c % 3 = 0
+            UNION SELECT 'host', host, d + 400, DATE '9999-12-31' FROM dated WHERE c % 3 = 0
+            UNION SELECT 'domain', parent, min(d) + 30, DATE '9999-12-31' FROM dated WHERE c % 5 = 0 AND parent LIKE '%.%.%' GROUP BY parent
+            UNION SELECT 'prefix', host || '/' || section, d + 10, d + 210 FROM dated WHERE c % 4 = 0 AND section <> ''
+        ), hits AS (
+            SELECT c.page_id, count(*) AS n_entries, min('rules|' || kind || '|' || pattern) AS first_entry
+            FROM captures c JOIN entries e ON c.fetched_on >= e.valid_from AND c.fetched_on < e.valid_to AND (
+                kind = 'host' AND host = pattern OR kind = 'domain' AND (host = pattern OR ends_with(host, '.' || pattern))
+                OR kind = 'prefix' AND (host || path = pattern OR starts_with(host || path, pattern || '/')))
+            GROUP BY 1
+        )
+        SELECT page_id, url, fetched_on, n_entries IS NOT NULL AS blocked, coalesce(n_entries, 0) AS n_entries, first_entry
+        FROM captures LEFT JOIN hits USING (page_id)
+    """,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
