@@ -8,6 +8,7 @@ from strandline.llm.common import read_table
 from strandline.llm.exact_dedup import exact_dedup
 from strandline.llm.extraction import extract_pages
 from strandline.llm.langid import identify_languages
+from strandline.llm.near_dup import near_duplicates
 from strandline.llm.packing import pack_documents
 from strandline.llm.pii import find_personal_data
 from strandline.llm.sharding import shard_documents
@@ -32,6 +33,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -48,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_extraction, op4_exact_dedup, op7_toxicity, op8_language_id, op9_pii, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_extraction, op4_exact_dedup, op6_near_dup, op7_toxicity, op8_language_id, op9_pii, op10_packing)}
 
 ORACLES = {
     "op1_url_filter": r"""
