@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,14 +23,8 @@ def whole_text(column: str = "text") -> Column:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes thin rows to the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    The folder is the session's `spark.checkpoint.dir`; only where none is set (tests on one machine)
-    a temporary folder is used.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-"))
+    """Writes thin rows to the shared checkpoint folder, so that a lost executor costs no recomputation."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -87,3 +82,20 @@ def with_text_columns(df: DataFrame, make: Callable[[], Callable[[list[str]], di
     plain = df.toDF(*[f"c{i}" for i in range(len(kept))], "t")
     out = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)] + list(added))
     return plain.mapInArrow(run, out).toDF(*[f.name for f in kept], *names)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes rows as Parquet into the shared checkpoint folder and reads them again: what comes after depends on files alone."""
+    df.sparkSession.sparkContext.setJobDescription(f"write {name}")
+    path = f"{checkpoint_folder(df.sparkSession)}/strandline-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    df.sparkSession.sparkContext.setJobDescription(None)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`; only where none is set (tests on one machine) a temporary folder."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-"))
+    return context._jsc.sc().getCheckpointDir().get()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import read_table
+from strandline.llm.decontam import find_leaks
 from strandline.llm.exact_dedup import exact_dedup
 from strandline.llm.extraction import extract_pages
 from strandline.llm.langid import identify_languages
@@ -33,6 +34,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_extraction, op4_exact_dedup, op6_near_dup, op7_toxicity, op8_language_id, op9_pii, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_extraction, op4_exact_dedup, op5_decontamination, op6_near_dup, op7_toxicity, op8_language_id, op9_pii, op10_packing)}
 
 ORACLES = {
     "op1_url_filter": r"""
