@@ -163,19 +163,18 @@ def q16_hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COMMITS = """
-    SELECT n_nationkey AS commit_id, n_nationkey - 1 AS parent_id FROM nation WHERE n_nationkey > 0
+    SELECT n_nationkey AS commit_id, n_nationkey - 3 AS parent_id FROM nation WHERE n_nationkey > 2
     UNION ALL SELECT n_nationkey, n_nationkey - 4 FROM nation WHERE n_nationkey % 5 = 4 AND n_nationkey > 4
-    UNION ALL SELECT 100, 4 FROM nation WHERE n_nationkey = 0
+    UNION ALL SELECT 100, 9 FROM nation WHERE n_nationkey = 0
     UNION ALL SELECT 101, 100 FROM nation WHERE n_nationkey = 0
 """
 BEHIND = f"""
     WITH RECURSIVE edges(commit_id, parent_id) AS ({COMMITS}),
     above(start, commit_id, depth) AS (
-        SELECT DISTINCT commit_id, commit_id, 0 FROM edges WHERE commit_id IN (11, 101)
-        UNION ALL SELECT above.start, edges.parent_id, depth + 1 FROM above JOIN edges ON above.commit_id = edges.commit_id WHERE depth < 20
+        SELECT DISTINCT commit_id, commit_id, 0 FROM edges WHERE commit_id IN (24, 101)
+        UNION ALL SELECT above.start, edges.parent_id, depth + 1 FROM above JOIN edges ON above.commit_id = edges.commit_id WHERE depth < 12
     )
-    SELECT 'OUT_OF_DATE' AS state, count(DISTINCT commit_id) AS commits_behind FROM above
-    WHERE start = 11 AND commit_id NOT IN (SELECT commit_id FROM above WHERE start = 101)
+    SELECT 'OUT_OF_DATE' AS state, count(*) AS commits_behind FROM (SELECT commit_id FROM above GROUP BY commit_id HAVING max(start) = 24) AS only_new
 """
 
 
