@@ -68,8 +68,8 @@ class IndexTable:
         name = f"{number}-{uuid.uuid4().hex[:8]}"
         target = f"{self.path}/data/v={name}"
         out = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in INDEX_SCHEMA], self.bucket(manifest).alias("bucket"))
-        # rows of a bucket meet in few files; the text's own hash splits large buckets over tasks
-        out.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("bucket").parquet(target)
+        # rows of a bucket meet in few files; small buckets share a task and large ones are split, as their sizes turn out
+        out.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(target)
         written = {str(r["bucket"]): r["count"] for r in self.spark.read.schema(f"{_ddl()}, bucket int").parquet(target).groupBy("bucket").count().collect()}
         replaced = {str(b) for b in buckets} if buckets is not None else set(manifest["owner"])
         owner = {b: v for b, v in manifest["owner"].items() if b not in replaced} | dict.fromkeys(written, name)
