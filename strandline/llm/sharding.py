@@ -37,7 +37,7 @@ def longest_first(classes: Sequence[tuple[int, int, int]], shards: int) -> list[
         if count > 4 * shards and each > 0:
             order = np.sort(load)
             filled = (np.cumsum(order) + count * each) / np.arange(1, shards + 1)
-            level = filled[max(int(np.searchsorted(order < filled, False)) - 1, 0)]
+            level = filled[max(int(np.cumprod(order < filled).sum()) - 1, 0)]
             got = np.maximum(0, np.floor((level - load) / each)).astype(np.int64)
             while got.sum() > count:
                 got[got.argmax()] -= 1
