@@ -19,7 +19,9 @@ END_ID = 1
 CLASSES = 48
 ROUNDS = 240
 LARGE = 256
-CACHE = 1_000_000
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)
+CACHE = 450_000
+BLOCK_CHARS = 4_000_000
 
 
 def tokenizer_path() -> str:
@@ -46,18 +48,36 @@ def _pieces(path: str | None, capacity: int, cache_size: int):
             kept |= {"path": file, "encode": Tokenizer.from_file(file).encode_batch_fast, "ids": {}}
         encode, ids = kept["encode"], kept["ids"]
         end = np.uint32(END_ID).tobytes()
-        for batch in batches:
-            texts = [(t or "").replace("\n", " ").split(" ") for t in batch.column(1).to_pylist()]
-            missing = list({w for words in texts for w in words}.difference(ids))
-            if len(ids) + len(missing) > cache_size:
-                ids.clear()
-                missing = list({w for words in texts for w in words})
+
+        def learned(words: set[str]) -> dict[str, bytes]:
+            """Ids of the words that are not kept; while there is room, they are kept from now on. Frequent words come early."""
+            missing = list(words.difference(ids))
+            new: dict[str, bytes] = {}
             for first in range(0, len(missing), 20_000):
                 part = missing[first : first + 20_000]
-                ids.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encode(part, add_special_tokens=False)), strict=True))
+                new.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encode(part, add_special_tokens=False)), strict=True))
+            if len(ids) + len(new) <= cache_size:
+                ids.update(new)
+            return new
+
+        def coded(texts: list[str]) -> Iterator[bytes]:
+            # few texts at a time: a list of all words of a batch would take far more room than the batch
+            at = 0
+            while at < len(texts):
+                stop, size = at, 0
+                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= BLOCK_CHARS):
+                    size += len(texts[stop])
+                    stop += 1
+                split = [t.replace("\n", " ").split(" ") for t in texts[at:stop]]
+                new = learned({w for words in split for w in words})
+                get = (lambda w, new=new: new[w] if w in new else ids[w]) if new and next(iter(new)) not in ids else ids.__getitem__
+                for words in split:
+                    yield b"".join(map(get, words)) + end
+                at = stop
+
+        for batch in batches:
             of, out = [], []
-            for row, words in enumerate(texts):
-                data = b"".join(map(ids.__getitem__, words)) + end
+            for row, data in enumerate(coded([t or "" for t in batch.column(1).to_pylist()])):
                 for piece, start in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[start : start + 4 * capacity]
                     of.append(row)
@@ -160,49 +180,77 @@ class _Runs:
             count -= take * a
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
-    """(length, lo, hi, copies, first, place): the pieces of a length with ranks lo to hi go, `copies` to a sequence, to sequences from `first` on.
+def _filled(counts: np.ndarray, classes: list[list[int]], left: dict[int, int], lengths: list[int], capacity: int) -> tuple[tuple[int, int], ...]:
+    """One sequence after a configuration: pieces of its classes but the last, and for the rest whatever fits best; () if a class is used up.
 
-    Lengths over `LARGE` form classes of near equal mass; the linear program runs on the classes' largest
-    lengths; each configuration is rounded down, its classes filled with actual pieces, longest first.
-    Whatever rounding leaves, and the short pieces, go by best fit into the gaps.
+    A class stands for its largest length, so its pieces leave room; the last ones are chosen to close it.
     """
+    items: dict[int, int] = {}
+    used = np.flatnonzero(counts)[::-1]
+    wanted = [(g, int(counts[g])) for g in used]
+    wanted[-1] = (wanted[-1][0], wanted[-1][1] - 1)
+    room = capacity
+    for g, need in wanted:
+        for n in reversed(classes[g]):
+            if need and (k := min(need, left.get(n, 0))):
+                items[n] = items.get(n, 0) + k
+                room -= n * k
+                need -= k
+        if need:
+            return ()
+    while (at := bisect.bisect_right(lengths, room)) > 0:
+        n = next((n for n in reversed(lengths[max(0, at - 8) : at]) if left[n] > items.get(n, 0)), None)
+        if n is None:
+            break
+        items[n] = items.get(n, 0) + 1
+        room -= n
+    return tuple(sorted(items.items(), reverse=True))
+
+
+def _rounded(program: list[tuple[np.ndarray, float]], share: float, classes: list[list[int]], histogram: dict[int, int], capacity: int) -> _Runs:
+    """Whole sequences for a share of the program's amounts, then best fit for what is left."""
     runs = _Runs(capacity)
     left = {n: c for n, c in histogram.items() if c}
     if capacity in left:
         runs.open(((capacity, 1),), left.pop(capacity))
+    lengths = sorted(left)
+    for counts, amount in program:
+        wanted = int(amount * share)
+        while wanted > 0 and (items := _filled(counts, classes, left, lengths, capacity)):
+            times = min(wanted, *(left[n] // k for n, k in items))
+            runs.open(items, times)
+            for n, k in items:
+                left[n] -= k * times
+                if not left[n]:
+                    del lengths[bisect.bisect_left(lengths, n)]
+            wanted -= times
+    for n in sorted(left, reverse=True):
+        if left[n]:
+            runs.fit(n, left[n])
+    return runs
+
+
+def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
+    """(length, lo, hi, copies, first, place): the pieces of a length with ranks lo to hi go, `copies` to a sequence, to sequences from `first` on.
+
+    Lengths over `LARGE` form classes of near equal mass; the linear program runs on the classes' largest
+    lengths; each configuration is rounded down and filled with actual pieces. Whatever rounding leaves goes
+    by best fit, longest first, into the gaps.
+    """
+    left = {n: c for n, c in histogram.items() if c and n != capacity}
     large = sorted(n for n in left if n > min(LARGE, capacity // 16))
+    classes: list[list[int]] = [[] for _ in range(CLASSES)]
+    program: list[tuple[np.ndarray, float]] = []
     if large:
         mass = np.cumsum([n * left[n] for n in large], dtype=float)
-        classes: list[list[int]] = [[] for _ in range(CLASSES)]
         for n, m in zip(large, mass, strict=True):
             classes[min(CLASSES - 1, int(m / mass[-1] * CLASSES))].append(n)
         classes = [c for c in classes if c]
         sizes = np.array([c[-1] for c in classes])
         demand = np.array([sum(left[n] for n in c) for c in classes], float)
-        for counts, amount in sorted(configuration_program(sizes, demand, capacity), key=lambda x: -x[1]):
-            wanted = int(amount)
-            while wanted > 0:
-                items: list[tuple[int, int]] = []
-                for g in np.flatnonzero(counts):
-                    need = int(counts[g])
-                    for n in reversed(classes[g]):
-                        if need and (k := min(need, left.get(n, 0))):
-                            items.append((n, k))
-                            need -= k
-                    if need:
-                        items = []
-                        break
-                if not items:
-                    break
-                times = min(wanted, *(left[n] // k for n, k in items))
-                runs.open(tuple(items), times)
-                for n, k in items:
-                    left[n] -= k * times
-                wanted -= times
-    for n in sorted(left, reverse=True):
-        if left[n]:
-            runs.fit(n, left[n])
+        program = sorted(configuration_program(sizes, demand, capacity), key=lambda x: -x[1])
+    # the share of each amount that is rounded to whole sequences; the fewest sequences win
+    runs = min((_rounded(program, share, classes, histogram, capacity) for share in SHARES), key=lambda r: r.next_id)
     given: dict[int, int] = {}
     rows = []
     for at in sorted((r for group in runs.by_free.values() for r in group), key=lambda r: r[0]):
