@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from strandline.llm.common import cut_lineage, ranked
 
 CAPACITY = 4096
 END_ID = 1
+WORD_END = "</w>"
+MARKS = ".,;:!?#%&$*)\"'-"
 CLASSES = 48
 ROUNDS = 240
 LARGE = 256
@@ -41,21 +44,53 @@ def _pieces(path: str | None, capacity: int, cache_size: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        class Known(dict):
+            """Ids of words: those kept for good and, behind them, those of the block in hand."""
+
+            def __missing__(self, word: str) -> bytes:
+                return self.block[word]
+
         # a worker process serves many tasks: the tokenizer and the ids of its words stay with it
         kept = sys.modules.setdefault("strandline_tokens", type(sys)("strandline_tokens")).__dict__
         file = path or tokenizer_path()
         if kept.get("path") != file:
-            kept |= {"path": file, "encode": Tokenizer.from_file(file).encode_batch_fast, "ids": {}}
-        encode, ids = kept["encode"], kept["ids"]
+            made = Tokenizer.from_file(file)
+            # letters alone make one unit, whose last id is one of these; a vocabulary without such ids has each word encoded for itself
+            ends = np.zeros(made.get_vocab_size(), bool)
+            ends[[i for token, i in made.get_vocab().items() if token.endswith(WORD_END)]] = True
+            kept |= {"path": file, "encode": made.encode_batch_fast, "ends": ends, "ids": Known()}
+        encode, ends, ids = kept["encode"], kept["ends"], kept["ids"]
         end = np.uint32(END_ID).tobytes()
 
+        def each(words: list[str]) -> Iterator[tuple[str, bytes]]:
+            for first in range(0, len(words), 20_000):
+                part = words[first : first + 20_000]
+                yield from zip(part, (array("I", e.ids).tobytes() for e in encode(part, add_special_tokens=False)), strict=True)
+
+        def lettered(words: list[str]) -> Iterator[tuple[str, bytes]]:
+            """Ids of words of letters alone: many at once, cut after the ids that end a unit, if these are as many as the words."""
+            for first in range(0, len(words), 2_000):
+                part = words[first : first + 2_000]
+                found = np.array(encode([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                cuts = (np.flatnonzero(ends[found]) + 1) * 4
+                if len(cuts) == len(part):
+                    data = found.tobytes()
+                    yield from zip(part, (data[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)), strict=True)
+                else:
+                    yield from each(part)
+
         def learned(words: set[str]) -> dict[str, bytes]:
             """Ids of the words that are not kept; while there is room, they are kept from now on. Frequent words come early."""
-            missing = list(words.difference(ids))
-            new: dict[str, bytes] = {}
-            for first in range(0, len(missing), 20_000):
-                part = missing[first : first + 20_000]
-                new.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encode(part, add_special_tokens=False)), strict=True))
+            missing = words.difference(ids)
+            # marks behind letters are units of their own; letters beyond Latin-1 may come apart in the normal form and join the marks
+            bodies = {w: body for w in missing if (body := w.rstrip(MARKS)) != w and body.isalpha() and body[-1] < "\u0100"}
+            parts = missing.difference(bodies).union(bodies.values(), (w[len(body) :] for w, body in bodies.items())).difference(ids)
+            new = dict(lettered([p for p in parts if p.isalpha()]))
+            new.update(each([p for p in parts if p not in new]))
+            part_ids = new.copy()
+            for w, body in bodies.items():
+                tail = w[len(body) :]
+                new[w] = (part_ids.get(body) or ids[body]) + (part_ids.get(tail) or ids[tail])
             if len(ids) + len(new) <= cache_size:
                 ids.update(new)
             return new
@@ -69,10 +104,9 @@ def _pieces(path: str | None, capacity: int, cache_size: int):
                     size += len(texts[stop])
                     stop += 1
                 split = [t.replace("\n", " ").split(" ") for t in texts[at:stop]]
-                new = learned({w for words in split for w in words})
-                get = (lambda w, new=new: new[w] if w in new else ids[w]) if new and next(iter(new)) not in ids else ids.__getitem__
+                ids.block = learned({w for words in split for w in words})
                 for words in split:
-                    yield b"".join(map(get, words)) + end
+                    yield b"".join(map(ids.__getitem__, words)) + end
                 at = stop
 
         for batch in batches:
