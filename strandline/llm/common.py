@@ -22,10 +22,22 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes thin rows to the shared checkpoint folder, so that a lost executor costs no recomputation."""
+def cut_lineage(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """Writes thin rows to the shared checkpoint folder, so that a lost executor costs no recomputation.
+
+    With `batch_rows`, Python stages on the way get Arrow batches of so many rows at most: wide rows then
+    take little room on both sides. The session's own setting holds again afterwards.
+    """
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if batch_rows is None:
+        return df.checkpoint(eager=True)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(batch_rows))
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, before)
 
 
 def sample_share(rows: int, bound: int) -> float:
