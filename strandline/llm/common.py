@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
+PART_ROWS = 500
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -73,25 +75,26 @@ def ranked(df: DataFrame, key: str, order: list[str], out: str, buckets: int = 2
     return joined.withColumn(out, (F.col("_o") + F.col("_r") - 1).cast("long")).drop("_b", "_k", "_bb", "_o", "_r")
 
 
-def with_text_columns(df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], schema: str) -> DataFrame:
-    """Adds the columns of `schema`, computed from the last column of `df`, a string, which goes; the other columns pass as they are.
+def with_text_columns(df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], schema: str, keep_text: bool = False) -> DataFrame:
+    """Adds the columns of `schema`, computed from the last column of `df`, a string, which goes unless `keep_text`; the other columns pass as they are.
 
     `make` is called once a task and gives a function from a list of texts (null as "") to the new columns.
     """
-    *kept, text = df.schema.fields
+    kept = df.schema.fields if keep_text else df.schema.fields[:-1]
     added = StructType.fromDDL(schema)
     types = [to_arrow_type(f.dataType) for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
+        # a few rows at a time: as Python strings a whole batch takes much room
+        for batch in (whole.slice(at, PART_ROWS) for whole in batches for at in range(0, whole.num_rows, PART_ROWS)):
             new = compute([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
-            columns = [*batch.columns[:-1], *(pa.array(new[f], t) for f, t in zip(names, types, strict=True))]
+            columns = [*batch.columns[: len(kept)], *(pa.array(new[f], t) for f, t in zip(names, types, strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f"c{i}" for i in range(len(columns) - len(names))), *names])
 
     names = [f.name for f in added]
     # numbers instead of names inside: names may clash with one another or with the new ones
-    plain = df.toDF(*[f"c{i}" for i in range(len(kept))], "t")
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     out = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)] + list(added))
     return plain.mapInArrow(run, out).toDF(*[f.name for f in kept], *names)
 

@@ -177,5 +177,9 @@ def keep_identified(documents: DataFrame, least: float = 0.5) -> DataFrame:
     Goes: texts without letters, and texts in which no language has that share.
     """
     model = fit(documents.where(F.col("doc_id").isNotNull() & ~held_out(4, 2)).select("doc_id", "text", "lang"))
-    told = predict(documents.select(F.struct("*").alias("row"), "text"), model)
-    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
+    # the text passes once, not a second time inside the row
+    others = [f"`{c.replace('`', '``')}`" for c in documents.columns if c != "text"]
+    rows = documents.select(F.struct(*others).alias("row"), "text")
+    told = with_text_columns(rows, _predicted(model), "lang_pred string, score double", keep_text=True)
+    kept = told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return kept.select(*["text" if c == "text" else F.col("row").getField(c).alias(c) for c in documents.columns])
