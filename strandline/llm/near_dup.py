@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut_lineage, whole_text, with_text_columns
+from strandline.llm.common import cut_lineage, in_sample, sample_share, whole_text, with_text_columns
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -17,6 +17,8 @@ GROUP = 500
 BEST = 5
 LIKELY = 0.65  # share of equal signature parts under which a pair is not worth a comparison: four deviations below SIMILARITY
 SLOTS = 1 << 20
+HOT = 2_000  # holders of one token that meet in one block of the exact join
+COUNTED = 50_000  # nodes whose tokens are counted for the order of the exact join; any order gives the same pairs
 BLOCK_BYTES = 500_000
 BATCH_ROWS = 500
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -262,6 +264,78 @@ def further_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
     return _ordered(small.select("node", F.explode(news).alias("other")).union(grouped.applyInArrow(_likeliest, "node long, other long")))
 
 
+def open_nodes(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label) of the nodes whose buckets of more than `SMALL` nodes still hold several components; in smaller ones all have met."""
+    rows = _buckets(texts).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    heads = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("m")).where((F.col("l") < F.col("m")) & (F.col("n") > SMALL))
+    return rows.join(heads.select("bucket"), "bucket", "left_semi").select("node", "label").distinct()
+
+
+def tokens(bag: bytes) -> np.ndarray:
+    """The multiset as a set: the first, second, ... of equal hashes are different tokens."""
+    x = np.frombuffer(bag, np.uint64)
+    place = np.arange(len(x))
+    first = np.maximum.accumulate(np.where(np.r_[True, x[1:] != x[:-1]][: len(x)], place, 0))
+    with np.errstate(over="ignore"):
+        return mix(x + (place - first).astype(np.uint64) * BASE)
+
+
+def _slot_counts(batches):
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for bag in batch["bag"]:
+            np.add.at(counts, (tokens(bag.as_py()) % np.uint64(SLOTS)).astype(np.int64), 1)
+    slots = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
+
+
+def _prefixes(counts: np.ndarray, least: float):
+    """For each node its rarest tokens with their places, as many as may stand before the first that it shares with a text alike by `least`."""
+
+    def run(batches):
+        for batch in batches:
+            bags = [tokens(bag.as_py()) for bag in batch["bag"]]
+            found, places = [], []
+            for own in bags:
+                order = np.lexsort((own, counts[(own % np.uint64(SLOTS)).astype(np.int64)]))
+                found.append(own[order[: int(len(own) * (1 - least) + 1e-6) + 1]])
+                places.append(np.arange(len(found[-1]), dtype=np.int32))
+            if not bags:
+                continue
+            row = np.repeat(np.arange(len(bags)), [len(x) for x in found])
+            size = np.array([len(x) for x in bags], np.int32)[row]
+            columns = [batch["node"].take(pa.array(row)), batch["label"].take(pa.array(row)), size, np.concatenate(places), np.concatenate(found).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["node", "label", "size", "place", "token"])
+
+    return run
+
+
+def exact_pairs(bags: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of different labels that may overlap by `least`, for `bags` (node, label, bag); no such pair is left out.
+
+    Tokens are ordered by how rare they are. All that stands before the first common token of two texts
+    is in one of them only, which bounds the places of that token in both; their sizes are bounded too.
+    A token's holders of its commonest label meet its other holders, never one another, and the holders
+    of a hot token meet in blocks.
+    """
+    share = sample_share(bags.count(), COUNTED)
+    counted = bags.where(in_sample(F.col("node"), share, "tokens")).select("bag").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(SLOTS, np.int32)  # at most SLOTS rows come to the driver
+    counts[counted["slot"].to_numpy(np.int64)] = np.minimum(counted["n"].to_numpy(np.int64), 2**31 - 1)
+    prefixes = cut_lineage(bags.mapInArrow(_prefixes(counts, least), "node long, label long, size int, place int, token long"), BATCH_ROWS)
+    held = prefixes.groupBy("token", "label").agg(F.count("*").alias("n"))
+    heads = held.groupBy("token").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label"))["label"].alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    members = prefixes.join(heads.select("token", "most", F.ceil(F.col("n") / HOT).cast("int").alias("blocks")), "token")
+    few = members.where("label <> most").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("x")
+    every = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    sizes = F.col("x.size") + F.col("y.size")
+    alike = (F.col("x.place") + F.col("y.place")) * (1 + least) <= sizes * (1 - least) + 1e-6
+    near = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * least - 1e-6
+    once = (F.col("y.label") == F.col("y.most")) | (F.col("x.node") < F.col("y.node"))
+    met = few.join(every, (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.label") != F.col("y.label")) & once & near & alike)
+    return _ordered(met.select(F.col("x.node").alias("node"), F.col("y.node").alias("other")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the edges (a, b): the label is the least node of its component.
 
@@ -281,20 +355,30 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """The pairs whose texts overlap by `least` or more; rows: (doc_id, node, text)."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(texts.select("node", "doc_id"), "node")
+def bags_of(nodes: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, bag) of the distinct `nodes` (node); rows: (doc_id, node, text)."""
+    asked = nodes.join(texts.select("node", "doc_id"), "node")
     # most texts are no candidates and stay where they are: a set of at most SLOTS remainders tells, at any input size
     slots = asked.select(F.pmod("node", F.lit(SLOTS)).alias("slot")).distinct()
     rows = rows.withColumn("slot", F.pmod("node", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
     # texts meet the candidates by id, which no hot text crowds; one row a node goes on
     named = asked.select(F.col("node").alias("n"), F.col("doc_id").alias("d"))
     found = rows.join(named, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["node"] == F.col("n")), "left_semi").dropDuplicates(["node"])
-    bags = cut_lineage(with_text_columns(found.select("node", "text"), _multisets, "bag binary"), BATCH_ROWS)
+    return cut_lineage(with_text_columns(found.select("node", "text"), _multisets, "bag binary"), BATCH_ROWS)
+
+
+def compared(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """The pairs whose bags (node, bag) overlap by `least` or more."""
     full = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
     return cut_lineage(full.select("a", "b", "bag_a", "bag_b").mapInArrow(_compared(least), "a long, b long"), BATCH_ROWS)
 
 
+def linked(pairs: DataFrame, texts: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """The pairs whose texts overlap by `least` or more; rows: (doc_id, node, text)."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return compared(pairs, bags_of(asked, texts, rows), least)
+
+
 def joined_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels (node, label) after further edges (a, b): components of the labels themselves, a much smaller graph."""
     if edges.isEmpty():
@@ -319,9 +403,18 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     edges = linked(pairs, texts, rows, least)
     labels = components(edges)
     further = further_pairs(banded, labels).join(pairs, ["a", "b"], "left_anti")
-    more = linked(cut_lineage(further), texts, rows, least)
+    further = cut_lineage(further)
+    more = linked(further, texts, rows, least)
     labels = joined_components(labels, more)
     edges = edges.union(more)
+    still = cut_lineage(open_nodes(banded, labels))
+    if not still.isEmpty():
+        bags = bags_of(still.select("node"), texts, rows)
+        rest = exact_pairs(bags.join(still, "node").select("node", "label", "bag"), least)
+        rest = rest.join(pairs, ["a", "b"], "left_anti").join(further, ["a", "b"], "left_anti")
+        last = compared(cut_lineage(rest), bags, least)
+        labels = joined_components(labels, last)
+        edges = edges.union(last)
     degree = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     joined = texts.select("node", "doc_id", "copies").join(labels.join(degree, "node"), "node", "left")
     return joined.select("node", "doc_id", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -171,3 +172,29 @@ def test_odd_rows(odd):
     kept = nd.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and kept.count() == 7
     assert nd.near_duplicates(odd.limit(0)).count() == 0 and nd.drop_near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_a_template_group_is_compared_in_full(make):
+    """5,000 texts of one template share most buckets at 0.75 to 0.8; planted pairs lie just above 0.8."""
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(400)]
+    own = {i: [f"o{i}x{j}" for j in range(61)] for i in range(5000)}
+    pairs = {(a, a + 1) for a in range(0, 400, 2)}
+    for a, b in pairs:
+        own[b][:12] = own[a][:12]
+    texts = {i: " ".join(template + own[i]) for i in own}
+    order = list(texts)
+    rng.shuffle(order)
+    bags = {i: Counter(zip(*[texts[i].split()[k:] for k in range(nd.WORDS)])) for i in texts}
+    holders = defaultdict(list)
+    for i, bag in bags.items():
+        for shingle in bag:
+            holders[shingle].append(i)
+    everywhere = sum(len(h) == len(texts) for h in holders.values())
+    assert all(len(h) <= 2 or len(h) == len(texts) for h in holders.values())
+    common = Counter(tuple(h) for h in holders.values() if len(h) == 2)
+    size = len(bags[0])
+    alike = {p for p in [*common, (0, 4999)] if (o := everywhere + common[p]) / (2 * size - o) >= nd.SIMILARITY}
+    assert alike == pairs and everywhere / (2 * size - everywhere) > 0.7
+    found = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(make([(i, texts[i]) for i in order])).collect()}
+    assert found == {i: i - 1 if (i - 1, i) in pairs else i for i in texts}
