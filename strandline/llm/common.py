@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,42 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 PART_ROWS = 500
+BATCH_ROWS = 1_000
+PLACES = 1 << 26
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lowers the rows of the session's Arrow batches to `rows`: rows hold whole texts here, and both sides keep whole batches in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The task function `run`, which at its end gives the memory that allocators keep back to the system: workers live on from task to task."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return task
+
+
+def with_maybe(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows with `maybe`: false only where their `column` is not among `keys` (a column of the same name). Nothing of `rows` shuffles.
+
+    A bitmap of `PLACES` places is broadcast, a million words at most whatever the number of keys; the more
+    keys, the more other rows are true as well.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(PLACES))
+    word, bit = F.shiftright(place, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{column}`), {PLACES}L) & 63 as int))")
+    bitmap = keys.select(word.alias("_w"), bit.alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_b"))
+    joined = rows.join(F.broadcast(bitmap), word == F.col("_w"), "left")
+    return joined.withColumn("maybe", F.coalesce(F.col("_b").bitwiseAND(bit) != 0, F.lit(False))).drop("_w", "_b")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +121,7 @@ def with_text_columns(df: DataFrame, make: Callable[[], Callable[[list[str]], di
     added = StructType.fromDDL(schema)
     types = [to_arrow_type(f.dataType) for f in added]
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         # a few rows at a time: as Python strings a whole batch takes much room
@@ -93,6 +131,7 @@ def with_text_columns(df: DataFrame, make: Callable[[], Callable[[list[str]], di
             yield pa.RecordBatch.from_arrays(columns, names=[*(f"c{i}" for i in range(len(columns) - len(names))), *names])
 
     names = [f.name for f in added]
+    small_batches(df.sparkSession)
     # numbers instead of names inside: names may clash with one another or with the new ones
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     out = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)] + list(added))
@@ -109,8 +148,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`; only where none is set (tests on one machine) a temporary folder."""
+    """The session's `spark.checkpoint.dir`; where none is set, a folder of this machine, if all runs on it, else an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandline-"))
     return context._jsc.sc().getCheckpointDir().get()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut_lineage, in_sample, sample_share, whole_text, with_text_columns
+from strandline.llm.common import cut_lineage, in_sample, releasing, sample_share, whole_text, with_maybe, with_text_columns
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -15,9 +15,12 @@ ROWS, BANDS = 5, 24
 SMALL = 8
 GROUP = 500
 BEST = 5
-LIKELY = 0.65  # share of equal signature parts under which a pair is not worth a comparison: four deviations below SIMILARITY
+LIKELY = 0.65  # share of equal signature parts under which a pair waits for the last round: four deviations below SIMILARITY
+BITS = 2048  # of a sketch
+BLOCK = 500  # nodes of a block of the last round
+WIDE = 10_000  # nodes of a bucket up to which blocks meet; the members of wider ones are joined by their rarest shingles
+HOT = 2_000  # pairs of one node, or holders of one token, that meet in one place
 SLOTS = 1 << 20
-HOT = 2_000  # holders of one token that meet in one block of the exact join
 COUNTED = 50_000  # nodes whose tokens are counted for the order of the exact join; any order gives the same pairs
 BLOCK_BYTES = 500_000
 BATCH_ROWS = 500
@@ -144,13 +147,34 @@ def _blocks(texts: list[str]):
         at = end
 
 
+def tokens(of: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's multiset as a set, sorted by document: the first, second, ... of equal hashes are different tokens."""
+    order = np.lexsort((hashes, of))
+    of, hashes = of[order], hashes[order]
+    place = np.arange(len(of))
+    fresh = np.ones(len(of), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
+    first = np.maximum.accumulate(np.where(fresh, place, 0))
+    with np.errstate(over="ignore"):
+        return of, mix(hashes + (place - first).astype(np.uint64) * BASE)
+
+
+def sketches(of: np.ndarray, own: np.ndarray, documents: int) -> np.ndarray:
+    """`BITS` bits (documents, words) of each set of tokens: every token flips one bit.
+
+    Where two sets differ in d tokens, their sketches differ in d bits at most; so sketches that differ in
+    more bits than two similar sets may differ in tokens tell a pair apart for certain.
+    """
+    flips = np.bincount(of * BITS + (own % np.uint64(BITS)).astype(np.int64), minlength=documents * BITS)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(documents, BITS // 64)
+
+
 def _signed():
-    """For each text its bands (hashes of `ROWS` parts) and eight bits of every part; none without words."""
+    """For each text its bands (hashes of `ROWS` parts), eight bits of every part, size and sketch; no bands without words."""
     powers = _Powers()
 
     def compute(texts: list[str]) -> dict[str, list]:
-        out: list[list[int] | None] = []
-        brief: list[bytes | None] = []
+        out: dict[str, list] = {"bands": [], "sig": [], "size": [], "sketch": []}
         for block in _blocks(texts):
             distinct = {t: i for i, t in enumerate(dict.fromkeys(block))}
             of, hashes = shingles(list(distinct), powers)
@@ -162,10 +186,15 @@ def _signed():
                 for k in range(ROWS):
                     band = mix(band + mix(bits[:, :, k] + np.uint64(k)))
             lists = band.view(np.int64).tolist()
-            out += [lists[distinct[t]] if full[distinct[t]] else None for t in block]
-            bytes_ = (mix(bits.reshape(len(parts), -1)) >> np.uint64(56)).astype(np.uint8)
-            brief += [bytes_[distinct[t]].tobytes() if full[distinct[t]] else None for t in block]
-        return {"bands": out, "sig": brief}
+            brief = (mix(bits.reshape(len(parts), -1)) >> np.uint64(56)).astype(np.uint8)
+            sizes = np.bincount(of, minlength=len(distinct)).tolist()
+            sketch = sketches(*tokens(of, hashes), len(distinct)).tolist()
+            rows = [distinct[t] for t in block]
+            out["bands"] += [lists[i] if full[i] else None for i in rows]
+            out["sig"] += [brief[i].tobytes() if full[i] else None for i in rows]
+            out["size"] += [sizes[i] for i in rows]
+            out["sketch"] += [sketch[i] for i in rows]
+        return out
 
     return compute
 
@@ -200,6 +229,7 @@ def overlap(a: bytes, b: bytes) -> float:
 
 
 def _compared(least: float):
+    @releasing
     def run(batches):
         for batch in batches:
             a, b = batch["bag_a"], batch["bag_b"]
@@ -264,27 +294,71 @@ def further_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
     return _ordered(small.select("node", F.explode(news).alias("other")).union(grouped.applyInArrow(_likeliest, "node long, other long")))
 
 
-def open_nodes(texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, label) of the nodes whose buckets of more than `SMALL` nodes still hold several components; in smaller ones all have met."""
-    rows = _buckets(texts).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def open_buckets(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label, bucket, band, n) of the buckets of more than `SMALL` nodes that still hold several components; in smaller ones all have met."""
+    rows = texts.select("node", F.posexplode("bands").alias("band", "bucket")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("m")).where((F.col("l") < F.col("m")) & (F.col("n") > SMALL))
-    return rows.join(heads.select("bucket"), "bucket", "left_semi").select("node", "label").distinct()
+    return rows.join(heads.select("bucket", "n"), "bucket").select("node", "label", "bucket", "band", "n")
+
+
+def most_apart(least: float) -> float:
+    """The largest share of both sizes in which two multisets may differ that overlap by `least`."""
+    return (1 - least) / (1 + least)
+
+
+def _near_in_blocks(share: float):
+    """Pairs of one block, or of two blocks of one bucket, whose sketches allow the similarity: of different labels, and only where they share no earlier band."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, label, size = (table[c].to_numpy() for c in ("node", "label", "size"))
+        block, band = table["block"].to_numpy(), table["band"].to_numpy()
+        bands, sketch = (np.asarray(table[c].combine_chunks().flatten()).reshape(len(node), -1) for c in ("bands", "sketch"))
+        sketch = sketch.view(np.uint64)  # of signed numbers NumPy would count the bits of the amount
+        left = np.flatnonzero(block == block.min())
+        right = left if block.min() == block.max() else np.flatnonzero(block != block.min())
+        found_a, found_b = [node[:0]], [node[:0]]
+        for first in range(0, len(left), 32):
+            a = left[first : first + 32]
+            room = (size[a][:, None] + size[right][None, :]) * share + 1e-6
+            apart = np.zeros(room.shape, np.uint16)
+            for w in range(sketch.shape[1]):
+                apart += np.bitwise_count(sketch[a, w][:, None] ^ sketch[right, w][None, :])
+            x, y = np.nonzero((apart <= room) & (label[a][:, None] != label[right][None, :]))
+            x, y = a[x], right[y]
+            once = (node[x] < node[y]) | (block[x] != block[y])
+            x, y = x[once], y[once]
+            first_shared = (bands[x] == bands[y]).argmax(axis=1)
+            x, y = x[first_shared == band[x]], y[first_shared == band[x]]
+            found_a.append(node[x])
+            found_b.append(node[y])
+        return pa.table({"node": np.concatenate(found_a), "other": np.concatenate(found_b)})
 
+    return run
 
-def tokens(bag: bytes) -> np.ndarray:
-    """The multiset as a set: the first, second, ... of equal hashes are different tokens."""
-    x = np.frombuffer(bag, np.uint64)
-    place = np.arange(len(x))
-    first = np.maximum.accumulate(np.where(np.r_[True, x[1:] != x[:-1]][: len(x)], place, 0))
-    with np.errstate(over="ignore"):
-        return mix(x + (place - first).astype(np.uint64) * BASE)
+
+def block_pairs(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of different labels in the buckets of `members` that may overlap by `least`.
+
+    The nodes of a bucket fall into blocks of about `BLOCK`; each block meets itself and every other one in
+    a task of its own, so no task holds more than two. A pair that shares several buckets comes once.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = members.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.join(texts.select("node", "bands", "size", "sketch"), "node")
+    rows = rows.select("node", "label", "bucket", "band", "size", "sketch", "bands", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    return _ordered(rows.groupBy("bucket", "i", "j").applyInArrow(_near_in_blocks(most_apart(least)), "node long, other long"))
+
+
+def _tokens_of(bag: pa.BinaryScalar) -> np.ndarray:
+    x = np.frombuffer(bag.as_py(), np.uint64)
+    return tokens(np.zeros(len(x), np.int64), x)[1]
 
 
 def _slot_counts(batches):
     counts = np.zeros(SLOTS, np.int64)
     for batch in batches:
         for bag in batch["bag"]:
-            np.add.at(counts, (tokens(bag.as_py()) % np.uint64(SLOTS)).astype(np.int64), 1)
+            np.add.at(counts, (_tokens_of(bag) % np.uint64(SLOTS)).astype(np.int64), 1)
     slots = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
 
@@ -294,7 +368,7 @@ def _prefixes(counts: np.ndarray, least: float):
 
     def run(batches):
         for batch in batches:
-            bags = [tokens(bag.as_py()) for bag in batch["bag"]]
+            bags = [_tokens_of(bag) for bag in batch["bag"]]
             found, places = [], []
             for own in bags:
                 order = np.lexsort((own, counts[(own % np.uint64(SLOTS)).astype(np.int64)]))
@@ -356,25 +430,41 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def bags_of(nodes: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, bag) of the distinct `nodes` (node); rows: (doc_id, node, text)."""
-    asked = nodes.join(texts.select("node", "doc_id"), "node")
-    # most texts are no candidates and stay where they are: a set of at most SLOTS remainders tells, at any input size
-    slots = asked.select(F.pmod("node", F.lit(SLOTS)).alias("slot")).distinct()
-    rows = rows.withColumn("slot", F.pmod("node", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+    """(node, bag) of the distinct `nodes` (node); rows: (doc_id, sha, text)."""
+    asked = nodes.join(texts.select("node", "doc_id", "sha"), "node")
+    rows = with_maybe(rows, asked.select("sha"), "sha").where("maybe")
     # texts meet the candidates by id, which no hot text crowds; one row a node goes on
-    named = asked.select(F.col("node").alias("n"), F.col("doc_id").alias("d"))
-    found = rows.join(named, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["node"] == F.col("n")), "left_semi").dropDuplicates(["node"])
+    named = asked.select("node", F.col("doc_id").alias("d"), F.col("sha").alias("s"))
+    found = rows.join(named, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["sha"] == F.col("s"))).dropDuplicates(["node"])
     return cut_lineage(with_text_columns(found.select("node", "text"), _multisets, "bag binary"), BATCH_ROWS)
 
 
+def possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sketches and sizes allow an overlap of `least`; no other pair has it. What is sent around is thin."""
+    side = {x: texts.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in ("a", "b")}
+    full = pairs.join(side["b"], "b").join(side["a"], "a")
+    apart = F.lit(0)
+    for w in range(BITS // 64):
+        apart = apart + F.bit_count(F.col("sketch_a")[w].bitwiseXOR(F.col("sketch_b")[w]))
+    room = (F.col("size_a") + F.col("size_b")) * most_apart(least) + 1e-6
+    near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least - 1e-6
+    return cut_lineage(full.where(near & (apart <= room)).select("a", "b"))
+
+
 def compared(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """The pairs whose bags (node, bag) overlap by `least` or more."""
-    full = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
+    """The pairs whose bags (node, bag) overlap by `least` or more. A node of many pairs meets them in several places."""
+    busy = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(F.col("a").alias("hot"), F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    left = pairs.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").join(busy, F.col("a") == F.col("hot"), "left")
+    left = left.select("a", "b", "bag_b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    right = bags.join(busy, F.col("node") == F.col("hot"), "left").select(F.col("node").alias("a"), F.col("bag").alias("bag_a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    full = left.join(right, ["a", "part"])
     return cut_lineage(full.select("a", "b", "bag_a", "bag_b").mapInArrow(_compared(least), "a long, b long"), BATCH_ROWS)
 
 
 def linked(pairs: DataFrame, texts: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """The pairs whose texts overlap by `least` or more; rows: (doc_id, node, text)."""
+    """The pairs whose texts overlap by `least` or more; rows: (doc_id, sha, text)."""
+    pairs = possible(pairs, texts, least)
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     return compared(pairs, bags_of(asked, texts, rows), least)
 
@@ -393,31 +483,38 @@ def joined_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return cut_lineage(both.join(merged.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("node", F.coalesce("least", "label").alias("label")))
 
 
+def text_sha() -> Column:
+    """What tells texts apart: the 32 bytes of the SHA-256, of a null text those of the empty one."""
+    return F.unhex(F.sha2(whole_text(), 256))
+
+
 def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row per distinct text: node (64-bit hash of the text), doc_id (its least), copies, label, n_links."""
-    rows = documents.select("doc_id", F.xxhash64(whole_text()).alias("node"), "text")
-    signed = with_text_columns(rows, _signed, "bands array<long>, sig binary")
-    texts = cut_lineage(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), BATCH_ROWS)
-    banded = texts.where(F.col("bands").isNotNull()).select("node", "bands", "sig")
+    """One row per distinct text: sha, doc_id (its least), copies, label, n_links."""
+    rows = documents.select("doc_id", text_sha().alias("sha"), "text")
+    signed = with_text_columns(rows, _signed, "bands array<long>, sig binary, size int, sketch array<long>")
+    grouped = signed.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("bands", "sig", "size", "sketch")])
+    texts = cut_lineage(grouped.withColumn("node", F.monotonically_increasing_id()), BATCH_ROWS)
+    banded = texts.where(F.col("bands").isNotNull())
     pairs = cut_lineage(first_pairs(banded))
     edges = linked(pairs, texts, rows, least)
     labels = components(edges)
-    further = further_pairs(banded, labels).join(pairs, ["a", "b"], "left_anti")
-    further = cut_lineage(further)
+    further = cut_lineage(further_pairs(banded, labels).join(pairs, ["a", "b"], "left_anti"))
     more = linked(further, texts, rows, least)
     labels = joined_components(labels, more)
     edges = edges.union(more)
-    still = cut_lineage(open_nodes(banded, labels))
+    still = cut_lineage(open_buckets(banded, labels))
     if not still.isEmpty():
-        bags = bags_of(still.select("node"), texts, rows)
-        rest = exact_pairs(bags.join(still, "node").select("node", "label", "bag"), least)
-        rest = rest.join(pairs, ["a", "b"], "left_anti").join(further, ["a", "b"], "left_anti")
-        last = compared(cut_lineage(rest), bags, least)
+        rest = block_pairs(still.where(F.col("n") <= WIDE), banded, least)
+        wide = still.where(F.col("n") > WIDE).select("node", "label").distinct()
+        if not wide.isEmpty():
+            rest = rest.union(exact_pairs(bags_of(wide.select("node"), texts, rows).join(wide, "node").select("node", "label", "bag"), least)).distinct()
+        rest = cut_lineage(rest.join(pairs, ["a", "b"], "left_anti").join(further, ["a", "b"], "left_anti"))
+        last = linked(rest, texts, rows, least)
         labels = joined_components(labels, last)
         edges = edges.union(last)
     degree = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    joined = texts.select("node", "doc_id", "copies").join(labels.join(degree, "node"), "node", "left")
-    return joined.select("node", "doc_id", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    joined = texts.select("node", "sha", "doc_id", "copies").join(labels.join(degree, "node"), "node", "left")
+    return joined.select("sha", "doc_id", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -432,25 +529,22 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFram
     """
     found = cut_lineage(classes(documents, least))
     least_id = found.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    named = found.join(least_id, "label").select("node", "class_id", "n_links")
-    rows = documents.select("doc_id", F.xxhash64(whole_text()).alias("node")).join(named, "node")
+    named = found.join(least_id, "label").select("sha", "class_id", "n_links")
+    rows = documents.select("doc_id", text_sha().alias("sha")).join(named, "sha")
     return rows.select("doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def drop_near_duplicates(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One document of each class stays, that with the least doc_id, with all its columns.
 
-    Documents that are alone in their class pass straight through; the others, and the few that share
-    their remainder by `SLOTS` with one of them, are joined with what stays.
+    Documents that are alone in their class pass straight through; the others, and the few that a bitmap
+    cannot tell from them, are joined with what stays.
     """
     found = cut_lineage(classes(documents, least))
-    best = found.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("best"), F.sum("copies").alias("n"))
-    crowded = found.join(best.where("n > 1").select("label"), "label", "left_semi")
-    slots = crowded.select(F.pmod("node", F.lit(SLOTS)).alias("slot")).distinct().withColumn("crowded", F.lit(True))
-    stays = best.select(F.col("best.node").alias("n"), F.col("best.doc_id").alias("d"))
-    rows = documents.select(F.struct("*").alias("row"), F.xxhash64(whole_text()).alias("node"))
-    # at most SLOTS rows are broadcast
-    rows = rows.withColumn("slot", F.pmod("node", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left")
-    alone = rows.where(F.col("crowded").isNull()).select("row.*")
-    met = rows.where("crowded").join(stays, (F.col("node") == F.col("n")) & F.col("row.doc_id").eqNullSafe(F.col("d")))
-    return alone.unionByName(met.dropDuplicates(["node"]).select("row.*"))
+    best = found.groupBy("label").agg(F.min(F.struct("doc_id", "sha")).alias("best"), F.sum("copies").alias("n"))
+    crowded = found.join(best.where("n > 1").select("label"), "label", "left_semi").select("sha")
+    rows = with_maybe(documents.select(F.struct("*").alias("row"), text_sha().alias("sha")), crowded, "sha")
+    alone = rows.where(~F.col("maybe")).select("row.*")
+    stays = best.select(F.col("best.sha").alias("s"), F.col("best.doc_id").alias("d"))
+    met = rows.where("maybe").join(stays, (F.col("sha") == F.col("s")) & F.col("row.doc_id").eqNullSafe(F.col("d")))
+    return alone.unionByName(met.dropDuplicates(["sha"]).select("row.*"))

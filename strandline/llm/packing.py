@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import bisect
+import functools
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut_lineage, ranked
+from strandline.llm.common import cut_lineage, ranked, releasing, small_batches
 
 CAPACITY = 4096
 END_ID = 1
@@ -23,8 +25,8 @@ CLASSES = 48
 ROUNDS = 240
 LARGE = 256
 SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)
-CACHE = 450_000
-BLOCK_CHARS = 4_000_000
+CACHE = 350_000
+BLOCK_CHARS = 3_000_000
 
 
 def tokenizer_path() -> str:
@@ -34,32 +36,35 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@functools.lru_cache(maxsize=1)
+def _vocabulary(path: str):
+    """The tokenizer's batch encoder, and which ids end a unit; a worker process reads it once for all its tasks."""
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    # letters alone make one unit, whose last id is one of these; a vocabulary without such ids has each word encoded for itself
+    ends = np.zeros(made.get_vocab_size(), bool)
+    ends[[i for token, i in made.get_vocab().items() if token.endswith(WORD_END)]] = True
+    return made.encode_batch_fast, ends
+
+
+class _Known(dict):
+    """Ids of words: those that a task keeps and, behind them, those of the block in hand."""
+
+    block: dict[str, bytes]
+
+    def __missing__(self, word: str) -> bytes:
+        return self.block[word]
+
+
 def _pieces(path: str | None, capacity: int, cache_size: int):
     """Pieces of each document. Texts split at blanks and line ends, where every token ends; words repeat, so their ids are kept."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        import sys
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        class Known(dict):
-            """Ids of words: those kept for good and, behind them, those of the block in hand."""
-
-            def __missing__(self, word: str) -> bytes:
-                return self.block[word]
-
-        # a worker process serves many tasks: the tokenizer and the ids of its words stay with it
-        kept = sys.modules.setdefault("strandline_tokens", type(sys)("strandline_tokens")).__dict__
-        file = path or tokenizer_path()
-        if kept.get("path") != file:
-            made = Tokenizer.from_file(file)
-            # letters alone make one unit, whose last id is one of these; a vocabulary without such ids has each word encoded for itself
-            ends = np.zeros(made.get_vocab_size(), bool)
-            ends[[i for token, i in made.get_vocab().items() if token.endswith(WORD_END)]] = True
-            kept |= {"path": file, "encode": made.encode_batch_fast, "ends": ends, "ids": Known()}
-        encode, ends, ids = kept["encode"], kept["ends"], kept["ids"]
+        encode, ends = _vocabulary(path or tokenizer_path())
+        ids = _Known()
         end = np.uint32(END_ID).tobytes()
 
         def each(words: list[str]) -> Iterator[tuple[str, bytes]]:
@@ -124,6 +129,7 @@ def _pieces(path: str | None, capacity: int, cache_size: int):
 
 def token_pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document."""
+    small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(tokenizer, capacity, CACHE), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
