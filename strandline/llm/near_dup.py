@@ -16,7 +16,7 @@ SMALL = 8
 GROUP = 500
 BEST = 5
 LIKELY = 0.65  # share of equal signature parts under which a pair waits for the last round: four deviations below SIMILARITY
-BITS = 2048  # of a sketch
+LEAST_BITS, MOST_BITS = 256, 1 << 14  # of a sketch
 BLOCK = 500  # nodes of a block of the last round
 WIDE = 10_000  # nodes of a bucket up to which blocks meet; the members of wider ones are joined by their rarest shingles
 HOT = 2_000  # pairs of one node, or holders of one token, that meet in one place
@@ -147,34 +147,39 @@ def _blocks(texts: list[str]):
         at = end
 
 
-def tokens(of: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each document's multiset as a set, sorted by document: the first, second, ... of equal hashes are different tokens."""
-    order = np.lexsort((hashes, of))
-    of, hashes = of[order], hashes[order]
-    place = np.arange(len(of))
-    fresh = np.ones(len(of), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
-    first = np.maximum.accumulate(np.where(fresh, place, 0))
+def tokens(bag: np.ndarray) -> np.ndarray:
+    """The sorted multiset as a set: the first, second, ... of equal hashes are different tokens."""
+    place = np.arange(len(bag))
+    first = np.maximum.accumulate(np.where(np.r_[True, bag[1:] != bag[:-1]][: len(bag)], place, 0))
     with np.errstate(over="ignore"):
-        return of, mix(hashes + (place - first).astype(np.uint64) * BASE)
+        return mix(bag + (place - first).astype(np.uint64) * BASE)
 
 
-def sketches(of: np.ndarray, own: np.ndarray, documents: int) -> np.ndarray:
-    """`BITS` bits (documents, words) of each set of tokens: every token flips one bit.
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Bits of a set of tokens: every token flips one. A power of two of them, some four a token; halves laid over one another give the shorter sketch.
 
     Where two sets differ in d tokens, their sketches differ in d bits at most; so sketches that differ in
     more bits than two similar sets may differ in tokens tell a pair apart for certain.
     """
-    flips = np.bincount(of * BITS + (own % np.uint64(BITS)).astype(np.int64), minlength=documents * BITS)
-    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(documents, BITS // 64)
+    bits = min(max(1 << int(4 * len(own)).bit_length() - 1, LEAST_BITS), MOST_BITS) if len(own) else LEAST_BITS
+    flips = np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows, words) at `words` words each."""
+    while bits.shape[1] > words:
+        bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+    return bits
 
 
 def _signed():
-    """For each text its bands (hashes of `ROWS` parts), eight bits of every part, size and sketch; no bands without words."""
+    """For each text its bands (hashes of `ROWS` parts) and eight bits of every part; none without words."""
     powers = _Powers()
 
     def compute(texts: list[str]) -> dict[str, list]:
-        out: dict[str, list] = {"bands": [], "sig": [], "size": [], "sketch": []}
+        out: list[list[int] | None] = []
+        brief: list[bytes | None] = []
         for block in _blocks(texts):
             distinct = {t: i for i, t in enumerate(dict.fromkeys(block))}
             of, hashes = shingles(list(distinct), powers)
@@ -186,15 +191,10 @@ def _signed():
                 for k in range(ROWS):
                     band = mix(band + mix(bits[:, :, k] + np.uint64(k)))
             lists = band.view(np.int64).tolist()
-            brief = (mix(bits.reshape(len(parts), -1)) >> np.uint64(56)).astype(np.uint8)
-            sizes = np.bincount(of, minlength=len(distinct)).tolist()
-            sketch = sketches(*tokens(of, hashes), len(distinct)).tolist()
-            rows = [distinct[t] for t in block]
-            out["bands"] += [lists[i] if full[i] else None for i in rows]
-            out["sig"] += [brief[i].tobytes() if full[i] else None for i in rows]
-            out["size"] += [sizes[i] for i in rows]
-            out["sketch"] += [sketch[i] for i in rows]
-        return out
+            out += [lists[distinct[t]] if full[distinct[t]] else None for t in block]
+            bytes_ = (mix(bits.reshape(len(parts), -1)) >> np.uint64(56)).astype(np.uint8)
+            brief += [bytes_[distinct[t]].tobytes() if full[distinct[t]] else None for t in block]
+        return {"bands": out, "sig": brief}
 
     return compute
 
@@ -295,63 +295,64 @@ def further_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def open_buckets(texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, label, bucket, band, n) of the buckets of more than `SMALL` nodes that still hold several components; in smaller ones all have met."""
-    rows = texts.select("node", F.posexplode("bands").alias("band", "bucket")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """(node, label, bucket, n) of the buckets of more than `SMALL` nodes that still hold several components; in smaller ones all have met."""
+    rows = _buckets(texts).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("m")).where((F.col("l") < F.col("m")) & (F.col("n") > SMALL))
-    return rows.join(heads.select("bucket", "n"), "bucket").select("node", "label", "bucket", "band", "n")
+    return rows.join(heads.select("bucket", "n"), "bucket").select("node", "label", "bucket", "n")
 
 
-def most_apart(least: float) -> float:
-    """The largest share of both sizes in which two multisets may differ that overlap by `least`."""
-    return (1 - least) / (1 + least)
+@releasing
+def _sketched(batches):
+    for batch in batches:
+        own = [_tokens_of(bag) for bag in batch["bag"]]
+        yield pa.RecordBatch.from_arrays([batch["node"], pa.array([len(x) for x in own], pa.int32()), pa.array([sketch(x).tobytes() for x in own], pa.binary())], names=["node", "size", "sketch"])
 
 
-def _near_in_blocks(share: float):
-    """Pairs of one block, or of two blocks of one bucket, whose sketches allow the similarity: of different labels, and only where they share no earlier band."""
+def _near_in_blocks(least: float):
+    """Pairs of different labels of one block, or of two blocks of one bucket, whose sizes and sketches allow the similarity."""
+    most_apart = (1 - least) / (1 + least)  # of both sizes, for sets that overlap by `least`
 
     def run(table: pa.Table) -> pa.Table:
-        node, label, size = (table[c].to_numpy() for c in ("node", "label", "size"))
-        block, band = table["block"].to_numpy(), table["band"].to_numpy()
-        bands, sketch = (np.asarray(table[c].combine_chunks().flatten()).reshape(len(node), -1) for c in ("bands", "sketch"))
-        sketch = sketch.view(np.uint64)  # of signed numbers NumPy would count the bits of the amount
-        left = np.flatnonzero(block == block.min())
-        right = left if block.min() == block.max() else np.flatnonzero(block != block.min())
-        found_a, found_b = [node[:0]], [node[:0]]
-        for first in range(0, len(left), 32):
-            a = left[first : first + 32]
-            room = (size[a][:, None] + size[right][None, :]) * share + 1e-6
-            apart = np.zeros(room.shape, np.uint16)
-            for w in range(sketch.shape[1]):
-                apart += np.bitwise_count(sketch[a, w][:, None] ^ sketch[right, w][None, :])
-            x, y = np.nonzero((apart <= room) & (label[a][:, None] != label[right][None, :]))
-            x, y = a[x], right[y]
-            once = (node[x] < node[y]) | (block[x] != block[y])
-            x, y = x[once], y[once]
-            first_shared = (bands[x] == bands[y]).argmax(axis=1)
-            x, y = x[first_shared == band[x]], y[first_shared == band[x]]
-            found_a.append(node[x])
-            found_b.append(node[y])
-        return pa.table({"node": np.concatenate(found_a), "other": np.concatenate(found_b)})
+        node, label, size, block = (table[c].to_numpy() for c in ("node", "label", "size", "block"))
+        bits = [np.frombuffer(x, np.uint64) for x in table["sketch"].to_pylist()]
+        words = np.array([len(x) for x in bits])
+        left, right = block == block.min(), block == block.max()
+        found = [np.zeros((2, 0), np.int64)]
+        for wide in np.unique(words[left]):
+            for other in np.unique(words[right]):
+                x, y = np.flatnonzero(left & (words == wide)), np.flatnonzero(right & (words == other))
+                w = min(wide, other)
+                a, b = folded(np.stack([bits[i] for i in x]), w), folded(np.stack([bits[i] for i in y]), w)
+                for first in range(0, len(x), 32):
+                    i = x[first : first + 32]
+                    apart = np.zeros((len(i), len(y)), np.int32)
+                    for k in range(w):
+                        apart += np.bitwise_count(a[first : first + 32, k, None] ^ b[None, :, k])
+                    both = size[i, None] + size[None, y]
+                    near = np.minimum(size[i, None], size[None, y]) >= np.maximum(size[i, None], size[None, y]) * least - 1e-6
+                    p, q = np.nonzero((apart <= both * most_apart + 1e-6) & near & (label[i, None] != label[None, y]))
+                    found.append(np.stack([node[i[p]], node[y[q]]]))
+        pairs = np.concatenate(found, axis=1)
+        return pa.table({"node": pairs[0], "other": pairs[1]})
 
     return run
 
 
-def block_pairs(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: all pairs of different labels in the buckets of `members` that may overlap by `least`.
+def block_pairs(members: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of different labels in the buckets of `members` that may overlap by `least`, for `bags` (node, bag).
 
     The nodes of a bucket fall into blocks of about `BLOCK`; each block meets itself and every other one in
-    a task of its own, so no task holds more than two. A pair that shares several buckets comes once.
+    a task of its own, so no task holds more than two.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = members.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.join(texts.select("node", "bands", "size", "sketch"), "node")
-    rows = rows.select("node", "label", "bucket", "band", "size", "sketch", "bands", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    return _ordered(rows.groupBy("bucket", "i", "j").applyInArrow(_near_in_blocks(most_apart(least)), "node long, other long"))
+    rows = rows.join(bags.mapInArrow(_sketched, "node long, size int, sketch binary"), "node")
+    rows = rows.select("node", "label", "bucket", "size", "sketch", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    return _ordered(rows.groupBy("bucket", "i", "j").applyInArrow(_near_in_blocks(least), "node long, other long"))
 
 
 def _tokens_of(bag: pa.BinaryScalar) -> np.ndarray:
-    x = np.frombuffer(bag.as_py(), np.uint64)
-    return tokens(np.zeros(len(x), np.int64), x)[1]
+    return tokens(np.frombuffer(bag.as_py(), np.uint64))
 
 
 def _slot_counts(batches):
@@ -439,32 +440,22 @@ def bags_of(nodes: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
     return cut_lineage(with_text_columns(found.select("node", "text"), _multisets, "bag binary"), BATCH_ROWS)
 
 
-def possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sketches and sizes allow an overlap of `least`; no other pair has it. What is sent around is thin."""
-    side = {x: texts.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in ("a", "b")}
-    full = pairs.join(side["b"], "b").join(side["a"], "a")
-    apart = F.lit(0)
-    for w in range(BITS // 64):
-        apart = apart + F.bit_count(F.col("sketch_a")[w].bitwiseXOR(F.col("sketch_b")[w]))
-    room = (F.col("size_a") + F.col("size_b")) * most_apart(least) + 1e-6
-    near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least - 1e-6
-    return cut_lineage(full.where(near & (apart <= room)).select("a", "b"))
-
-
 def compared(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     """The pairs whose bags (node, bag) overlap by `least` or more. A node of many pairs meets them in several places."""
-    busy = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(F.col("a").alias("hot"), F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    left = pairs.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").join(busy, F.col("a") == F.col("hot"), "left")
-    left = left.select("a", "b", "bag_b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
-    right = bags.join(busy, F.col("node") == F.col("hot"), "left").select(F.col("node").alias("a"), F.col("bag").alias("bag_a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    full = left.join(right, ["a", "part"])
+    mine = bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
+    full = pairs.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
+    busy = cut_lineage(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("a", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
+    if busy.isEmpty():
+        full = full.join(mine, "a")
+    else:
+        parts = F.coalesce("parts", F.lit(1))
+        full = full.join(busy, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("parts")
+        full = full.join(mine.join(busy, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts"), ["a", "part"])
     return cut_lineage(full.select("a", "b", "bag_a", "bag_b").mapInArrow(_compared(least), "a long, b long"), BATCH_ROWS)
 
 
 def linked(pairs: DataFrame, texts: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """The pairs whose texts overlap by `least` or more; rows: (doc_id, sha, text)."""
-    pairs = possible(pairs, texts, least)
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     return compared(pairs, bags_of(asked, texts, rows), least)
 
@@ -491,10 +482,10 @@ def text_sha() -> Column:
 def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per distinct text: sha, doc_id (its least), copies, label, n_links."""
     rows = documents.select("doc_id", text_sha().alias("sha"), "text")
-    signed = with_text_columns(rows, _signed, "bands array<long>, sig binary, size int, sketch array<long>")
-    grouped = signed.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("bands", "sig", "size", "sketch")])
+    signed = with_text_columns(rows, _signed, "bands array<long>, sig binary")
+    grouped = signed.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     texts = cut_lineage(grouped.withColumn("node", F.monotonically_increasing_id()), BATCH_ROWS)
-    banded = texts.where(F.col("bands").isNotNull())
+    banded = texts.where(F.col("bands").isNotNull()).select("node", "bands", "sig")
     pairs = cut_lineage(first_pairs(banded))
     edges = linked(pairs, texts, rows, least)
     labels = components(edges)
@@ -504,12 +495,13 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     edges = edges.union(more)
     still = cut_lineage(open_buckets(banded, labels))
     if not still.isEmpty():
-        rest = block_pairs(still.where(F.col("n") <= WIDE), banded, least)
+        bags = bags_of(still.select("node").distinct(), texts, rows)
+        rest = block_pairs(still.where(F.col("n") <= WIDE), bags, least)
         wide = still.where(F.col("n") > WIDE).select("node", "label").distinct()
         if not wide.isEmpty():
-            rest = rest.union(exact_pairs(bags_of(wide.select("node"), texts, rows).join(wide, "node").select("node", "label", "bag"), least)).distinct()
+            rest = rest.union(exact_pairs(bags.join(wide, "node").select("node", "label", "bag"), least)).distinct()
         rest = cut_lineage(rest.join(pairs, ["a", "b"], "left_anti").join(further, ["a", "b"], "left_anti"))
-        last = linked(rest, texts, rows, least)
+        last = compared(rest, bags, least)
         labels = joined_components(labels, last)
         edges = edges.union(last)
     degree = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
