@@ -120,7 +120,7 @@ def embed_rows(rows: DataFrame, embedder: Embedder, batch_size: int = 64, max_co
     Write the result before using it twice: read again, it would call the embedder again. No more than
     `max_concurrent` calls run at once in a task; coalesce the rows to bound the calls of all tasks.
     """
-    if type(embedder).__name__ == "HashEmbedder":
+    if type(embedder) is HashEmbedder:
         return rows.withColumn("embedding", hash_embedding(F.col("text")).cast("array<float>")).withColumn("calls", F.lit(0).cast("long"))
     schema = StructType([f for f in rows.schema if f.name != "embedding"] + [StructField("embedding", ArrayType(FloatType())), StructField("calls", LongType())])
     source = rows.drop("embedding")

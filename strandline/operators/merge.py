@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.model import TEXT_FIELDS
@@ -23,7 +23,9 @@ def new_rows(expected: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def upsert(index: DataFrame, rows: DataFrame) -> DataFrame:
-    """The index with these rows in the place of those with their ids."""
+    """The index with these rows in the place of those with their ids; of several rows with one id the last in their order."""
+    newest = Window.partitionBy("id").orderBy(F.desc("_at"))
+    rows = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_at", "_n")
     return index.join(rows.select("id"), "id", "left_anti").unionByName(rows)
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from strandline.functions.text import cosine
+from strandline.sources.scratch import scratch_folder
 
-QUERY_BLOCK = 1024
+QUERY_BYTES = 8_000_000
 
 
 def top_k(index: DataFrame, vector: Sequence[float], k: int, predicate: Column | None = None, id_column: str = "id") -> DataFrame:
@@ -35,31 +37,40 @@ def results(found: DataFrame) -> DataFrame:
     return rows.select(*columns, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _best_of_each(ids: np.ndarray, vectors: np.ndarray, k: int):
+def _best_of_each(ids: np.ndarray, vectors: np.ndarray, k: int, probed: np.ndarray | None = None):
+    """The k best rows of each query in a task. With `probed` (queries, cells) a query looks at rows of its own cells only."""
     lengths = np.linalg.norm(vectors, axis=1)
+    everyone = np.arange(len(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top_scores: list[np.ndarray] = [np.zeros(0)] * len(ids)
         top_ids: list[np.ndarray] = [np.zeros(0, np.int64)] * len(ids)
-        for batch in batches:
-            column = batch["embedding"]
-            sizes = np.asarray(column.value_lengths().fill_null(-1))
-            own = np.asarray(batch["id"])
-            right = sizes == vectors.shape[1]
-            score = np.zeros((len(ids), batch.num_rows))
-            if right.any():
-                matrix = np.asarray(column.filter(pa.array(right)).flatten(), dtype=np.float64).reshape(-1, vectors.shape[1])
-                size = lengths[:, None] * np.linalg.norm(matrix, axis=1)[None, :]
-                score[:, right] = np.divide(vectors @ matrix.T, size, out=np.zeros_like(size), where=size > 0)
-            present = sizes >= 0
-            for q in range(len(ids)):
-                s, i = np.r_[top_scores[q], score[q][present]], np.r_[top_ids[q], own[present]]
+
+        def offer(asking: np.ndarray, own: np.ndarray, score: np.ndarray) -> None:
+            for q, found in zip(asking.tolist(), score, strict=True):
+                s, i = np.r_[top_scores[q], found], np.r_[top_ids[q], own]
                 if len(s) > k:
                     # all that tie with the k-th stay for the exact order
                     keep = s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-12
                     s, i = s[keep], i[keep]
                 order = np.lexsort((i, -s))[:k]
                 top_scores[q], top_ids[q] = s[order], i[order]
+
+        for batch in batches:
+            sizes = np.asarray(batch["embedding"].value_lengths().fill_null(-1))
+            cell = np.asarray(batch["cell"]) if probed is not None else np.zeros(batch.num_rows, np.int64)
+            for c in np.unique(cell):
+                rows = np.flatnonzero((cell == c) & (sizes >= 0))
+                asking = everyone if probed is None else np.flatnonzero(probed[:, c])
+                if not len(rows) or not len(asking):
+                    continue
+                score = np.zeros((len(asking), len(rows)))
+                right = sizes[rows] == vectors.shape[1]
+                if right.any():
+                    matrix = np.asarray(batch["embedding"].take(pa.array(rows[right])).flatten(), dtype=np.float64).reshape(-1, vectors.shape[1])
+                    size = lengths[asking, None] * np.linalg.norm(matrix, axis=1)[None, :]
+                    score[:, right] = np.divide(vectors[asking] @ matrix.T, size, out=np.zeros_like(size), where=size > 0)
+                offer(asking, np.asarray(batch["id"])[rows], score)
         counts = [len(s) for s in top_scores]
         if sum(counts):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate(top_ids)), pa.array(np.concatenate(top_scores))], names=["query_id", "id", "score"])
@@ -67,27 +78,37 @@ def _best_of_each(ids: np.ndarray, vectors: np.ndarray, k: int):
     return run
 
 
-def top_k_each(index: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, id, score, rank) for queries (query_id, embedding) over an index (id, embedding), both ids long.
-
-    Queries go to the tasks in blocks of at most `block` vectors, whatever their number; a task sends on its
-    k best rows a query, and these alone meet in a shuffle.
-    """
+def _each(rows: DataFrame, queries: DataFrame, k: int, block_bytes: int, probes: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """The queries in blocks of about `block_bytes` of vectors: a block's best rows are written before the next one starts, so neither plan nor memory grows with the queries."""
+    spark = rows.sparkSession
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    parts = max(1, -(-asked.count() // block))
+    about = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0)) * 8).first()
+    parts = max(1, -(-int(about[1]) // block_bytes))
     numbered = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    rows = index.select(F.col("id").cast("long").alias("id"), "embedding")
-    out: DataFrame | None = None
+    schema, folder, written = "query_id long, id long, score double", scratch_folder(spark), []
     for part in range(parts):
         mine = numbered.where(F.col("part") == part).select("query_id", "embedding").toPandas()
-        if len(mine):
-            run = _best_of_each(mine["query_id"].to_numpy(np.int64), np.array(mine["embedding"].tolist(), dtype=np.float64), k)
-            found = rows.mapInArrow(run, "query_id long, id long, score double")
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
+        for size, same in mine.groupby(mine["embedding"].map(len)):
+            vectors = np.array(same["embedding"].tolist(), dtype=np.float64).reshape(len(same), size)
+            found = rows.mapInArrow(_best_of_each(same["query_id"].to_numpy(np.int64), vectors, k, probes(vectors) if probes else None), schema)
+            if parts == 1 and len(same) == len(mine):
+                return _best_ranked(found, k)
+            found.write.parquet(f"{folder}/part={part}-{size}")
+            written.append(f"{folder}/part={part}-{size}")
+    return _best_ranked(spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema), k)
+
+
+def _best_ranked(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def top_k_each(index: DataFrame, queries: DataFrame, k: int, block_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, id, score, rank) for queries (query_id, embedding) over an index (id, embedding), both ids long.
+
+    A block of queries goes to all tasks; a task sends on its k best rows a query, and these alone meet in a shuffle.
+    """
+    return _each(index.select(F.col("id").cast("long").alias("id"), "embedding"), queries, k, block_bytes)
 
 
 def cells(index: DataFrame, count: int = 16, seed: int = 7, sample: int = 20_000) -> np.ndarray:
@@ -108,21 +129,44 @@ def cells(index: DataFrame, count: int = 16, seed: int = 7, sample: int = 20_000
 
 
 def with_cell(index: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Adds cell, the nearest centre: a partition column for the table, so that a query reads a few partitions."""
+    """Adds cell, the nearest centre: a partition column for the table, so that a query reads a few partitions. Vectors of another length, which match nothing, lie in cell 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            matrix = np.asarray(batch["embedding"].flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            cell = (matrix @ centres.T).argmax(axis=1).astype(np.int32)
+            cell = np.zeros(batch.num_rows, np.int32)
+            right = np.flatnonzero(np.asarray(batch["embedding"].value_lengths().fill_null(-1)) == centres.shape[1])
+            if len(right):
+                matrix = np.asarray(batch["embedding"].take(pa.array(right)).flatten(), dtype=np.float64).reshape(len(right), -1)
+                cell[right] = (matrix @ centres.T).argmax(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
 
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
-    rows = index.where(F.col("embedding").isNotNull() & (F.size("embedding") == centres.shape[1]))
+    rows = index.where(F.col("embedding").isNotNull())
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("cell", IntegerType())]))
 
 
-def approximate_top_k(celled: DataFrame, centres: np.ndarray, vector: Sequence[float], k: int, probes: int = 4, predicate: Column | None = None, id_column: str = "id") -> DataFrame:
-    """Top k among the rows of the `probes` cells nearest to the vector; exact once all cells are probed."""
-    nearest = np.argsort(-(centres @ np.asarray(vector, dtype=np.float64)), kind="stable")[:probes]
-    return top_k(celled.where(F.col("cell").isin([int(c) for c in nearest])), vector, k, predicate, id_column).drop("cell")
+def nearest_cells(centres: np.ndarray, vectors: np.ndarray, probes: int) -> np.ndarray:
+    """(vectors, cells): whether a cell is one of the `probes` nearest to the vector."""
+    out = np.zeros((len(vectors), len(centres)), bool)
+    if vectors.shape[1] == centres.shape[1]:
+        order = np.argsort(-(vectors @ centres.T), axis=1, kind="stable")[:, :probes]
+        np.put_along_axis(out, order, True, axis=1)
+    return out
+
+
+def inverted_file(index: DataFrame, path: str, count: int = 16, seed: int = 7) -> np.ndarray:
+    """Writes the rows (id, embedding, ...) with `cell` as partition column to `path`; gives the centres, by which queries find their cells."""
+    centres = cells(index, count, seed)
+    with_cell(index, centres).repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("cell").parquet(path)
+    return centres
+
+
+def approximate_top_k(celled: DataFrame, centres: np.ndarray, vector: Sequence[float], k: int, probes: int = 12, predicate: Column | None = None, id_column: str = "id") -> DataFrame:
+    """Top k among the rows of the `probes` cells nearest to the vector; exact once all cells are probed. On a stored inverted file the other cells are not read."""
+    near = np.flatnonzero(nearest_cells(centres, np.asarray([vector], dtype=np.float64), probes)[0])
+    return top_k(celled.where(F.col("cell").isin([int(c) for c in near])), vector, k, predicate, id_column).drop("cell")
+
+
+def approximate_top_k_each(celled: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int = 12, block_bytes: int = QUERY_BYTES) -> DataFrame:
+    """As `top_k_each` over rows (id, embedding, cell), but each query meets only the rows of the `probes` cells nearest to it; exact once all are probed."""
+    rows = celled.select(F.col("id").cast("long").alias("id"), "embedding", "cell")
+    return _each(rows, queries, k, block_bytes, lambda vectors: nearest_cells(centres, vectors, probes))

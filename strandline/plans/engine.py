@@ -23,7 +23,6 @@ from strandline.model import (
     InitResult,
     QueryResult,
     StatusResult,
-    StoreError,
     StrandlineError,
     SyncResult,
     SyncStats,
@@ -38,10 +37,13 @@ from strandline.operators.verify import file_checks, ignored_stale, stale_delete
 from strandline.plans.refresh import Counts, refresh
 from strandline.sources.snapshot import GitSource
 from strandline.sources.state import read_config, read_json, single_writer, write_config, write_json
-from strandline.sources.table import IndexTable
+from strandline.sources.table import IndexTable, create_store
 
+# The state that must agree between syncs.
 FINGERPRINT = ("chunk_schema_id", "embedder_id", "config_chunker_id", "config_embedder_id")
 
+PAGE = 10_000  # files that a result names; their number is always told, and all of them lie beside the table
+
 
 class Index:
     """Keeps the index of the repository that holds `path`; parts given here take the place of the configured ones."""
@@ -62,12 +64,10 @@ class Index:
 
     def table(self, config: dict[str, Any]) -> IndexTable:
         store = config.get("vectorstore") or {}
-        if store.get("id") != "parquet":
-            raise StoreError(f"unknown vector store {store.get('id')!r}; known: parquet")
         path = str((config.get("collection") or {}).get("path") or f"{STATE_DIR}/index")
         if "://" not in path:
             path = (self.source.root / path).resolve().as_uri()
-        return IndexTable(self.spark, path, int((store.get("options") or {}).get("buckets", 16)))
+        return create_store(self.spark, str(store.get("id")), path, store.get("options"))
 
     def as_dataframe(self) -> DataFrame:
         """The index rows, for any query of Spark's own."""
@@ -129,30 +129,28 @@ class Index:
                 since = None
             if since == until and not txn and not full:
                 return SyncResult(since, until, 0, already_up_to_date=True, stats=SyncStats(time.perf_counter() - began))
-            new = source.tree(self.spark, until).persist()
-            old = None if full or since is None else source.tree(self.spark, since).persist()
+            new = source.tree(self.spark, until)
+            old = None if full or since is None else source.tree(self.spark, since)
             rules = self._rules(until)
             before = self._rules(since) if old is not None and ignore_file_changed(old, new) else None
-            todo = plan(old, new, rules, before).persist()
-            paths = [r["path"] for r in todo.orderBy("path").select("path").collect()]
+            # the plan lies beside the table, whatever its length; the caller gets its size and its first paths
+            todo = staged_at(plan(old, new, rules, before), f"{table.path}/plans/{token}-{uuid.uuid4().hex[:8]}")
+            planned, paths = todo.count(), first_paths(todo)
             if dry_run:
-                return SyncResult(since, until, 0, dry_run=True, planned_files=paths, files_planned=len(paths), recovered=bool(txn), stats=SyncStats(time.perf_counter() - began))
+                return SyncResult(since, until, 0, dry_run=True, planned_files=paths, files_planned=planned, recovered=bool(txn), stats=SyncStats(time.perf_counter() - began))
             txn = {"from_commit": since, "to_commit": until, "sync_token": token, "repo_id": repo_id, "ref": ref, "started_at": (txn or {}).get("started_at") or time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
             was_txn = read_json(self.state / "txn.json") is not None
             write_json(self.state / "txn.json", txn)
             counts = Counts()
-            if paths:
+            if planned:
                 options = config["embedder"]
                 embedding = {"batch_size": batch_size or options.get("batch_size", 64), "max_concurrent": max_concurrent or options.get("max_concurrent", 1), "retries": options.get("max_retries", 3) if max_retries is None else max_retries}
                 changed = new.join(todo.where(F.col("status") != "D").select("path"), "path", "left_semi")
                 counts = refresh(table, todo, source.texts(changed), chunker, embedder, repo_id, ref, until, token, config.get("normalize"), embedding, full)
             write_json(self.state / "cursor.json", {"last_synced_commit": until, "ref": ref, "repo_id": repo_id, "updated_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), **fingerprint})
             (self.state / "txn.json").unlink(missing_ok=True)
-            for frame in (new, old, todo):
-                if frame is not None:
-                    frame.unpersist()
             stats = SyncStats(time.perf_counter() - began, counts.calls, counts.texts, counts.tokens)
-            return SyncResult(since, until, len(paths), paths, counts.added, counts.updated, counts.deleted, recovered=was_txn, stats=stats)
+            return SyncResult(since, until, planned, paths, counts.added, counts.updated, counts.deleted, recovered=was_txn, stats=stats)
 
     def query_frame(self, vector: list[float], k: int = 10, ref: str | None = None, filter_expr: str | None = None) -> DataFrame:
         """The answer as a DataFrame, best first."""
@@ -240,24 +238,37 @@ class Index:
             return VerifyResult(False, basic)
         ignore_path = source.root / IGNORE_FILE
         left_out = ignored(F.col("path"), parse_rules(ignore_path.read_text("utf-8")) if ignore_path.exists() else [])
-        ignored_paths = sorted(r["path"] for r in ignored_stale(index, left_out).collect())
         tracked = source.tree(self.spark, commit) if basic["cursor_commit_exists"] else self.spark.createDataFrame([], "path string, content_hash string")
         tracked = tracked.where(~internal(F.col("path")) & ~left_out)
         checked = tracked if all_ else tracked.orderBy("path").limit(max(10 if sample is None else sample, 0))
         expected = expected_rows(source.texts(checked), chunker, config.get("normalize"), repo_id, ref, commit, "verify").select("path", "id")
-        rows = file_checks(index, expected, checked).orderBy("path").collect()
-        checks: list[dict[str, Any]] = []
-        for r in rows:
-            row = {"path": r["path"], "status": r["status"], "issues": r["issues"], "missing_count": r["missing_count"], "stale_count": r["stale_count"]}
-            checks.append(row | {c: r[c] for c in ("missing_ids", "stale_ids") if r[c]})
+        found = file_checks(index, expected, checked)
         if all_:
-            checks += [{"path": r["path"], "status": "FAIL", "issues": ["STALE_DELETED"], "missing_count": 0, "stale_count": r["stale_count"]} for r in stale_deleted(index, tracked, left_out).orderBy("path").collect()]
-        bad = [c["path"] for c in checks if c["status"] == "FAIL"]
-        fixed = False
-        if fix and (bad or ignored_paths):
-            processed = self.spark.createDataFrame([(p,) for p in {*bad, *ignored_paths}], "path string")
+            gone = stale_deleted(index, tracked, left_out).select("path", F.lit(0).cast("long").alias("missing_count"), "stale_count", F.lit("FAIL").alias("status"), F.array(F.lit("STALE_DELETED")).alias("issues"))
+            found = found.unionByName(gone, allowMissingColumns=True)
+        # the findings lie beside the table, one row a file; the caller gets those of the first files, failures before others
+        folder = f"{table.path}/checks/{uuid.uuid4().hex}"
+        found, out = staged_at(found, f"{folder}/files"), staged_at(ignored_stale(index, left_out), f"{folder}/ignored")
+        bad = found.where("status = 'FAIL'").select("path")
+        n_bad, n_out = bad.count(), out.count()
+        checks = []
+        for r in found.orderBy(F.col("status") != "FAIL", "path").limit(PAGE).collect():
+            row = {c: r[c] for c in ("path", "status", "issues", "missing_count", "stale_count")}
+            checks.append(row | {c: r[c] for c in ("missing_ids", "stale_ids") if r[c]})
+        checks.sort(key=lambda c: ("STALE_DELETED" in c["issues"], c["path"]))
+        if fix and (n_bad or n_out):
+            processed = bad.union(out).distinct()
             files = source.texts(tracked.join(processed, "path", "left_semi"))
             refresh(table, processed, files, chunker, embedder, repo_id, ref, commit, "verify-fix", config.get("normalize"), reembed=True)
-            fixed = True
-        passed = not bad and not ignored_paths and all(basic.values())
-        return VerifyResult(passed, basic, checks, ignored_paths, fixed)
+        return VerifyResult(not n_bad and not n_out and all(basic.values()), basic, checks, first_paths(out), bool(fix and (n_bad or n_out)))
+
+
+def staged_at(rows: DataFrame, path: str) -> DataFrame:
+    """The rows, written to `path` and read from there."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def first_paths(rows: DataFrame) -> list[str]:
+    """The first `PAGE` paths in order."""
+    return [r["path"] for r in rows.select("path").orderBy("path").limit(PAGE).collect()]

@@ -19,11 +19,6 @@ def listing(files: DataFrame) -> DataFrame:
     return files.select("path").distinct().orderBy("path")
 
 
-def decoded(content: str = "content"):
-    """Bytes as text; what is not UTF-8 becomes the replacement character."""
-    return F.decode(F.col(content), "UTF-8")
-
-
 @dataclass(frozen=True)
 class GitSource:
     """A git repository. Paths and blob ids come from the driver; file contents are read by the tasks."""

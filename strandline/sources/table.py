@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -122,6 +123,17 @@ class IndexTable:
         self._fs.delete(self._path(path), True)
 
 
+# Stores by the name that a configuration gives: what makes one of a session, a path and the options. Others register here.
+STORES: dict[str, Callable[[SparkSession, str, dict[str, Any]], IndexTable]] = {"parquet": lambda spark, path, options: IndexTable(spark, path, int(options.get("buckets", 16)))}
+
+
+def create_store(spark: SparkSession, name: str, path: str, options: dict[str, Any] | None = None) -> IndexTable:
+    """The store of that name; an unknown one is an error."""
+    if (make := STORES.get(name)) is None:
+        raise StoreError(f"unknown vector store {name!r}; known: {', '.join(sorted(STORES))}")
+    return make(spark, path, options or {})
+
+
 def _ddl() -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INDEX_SCHEMA)
 

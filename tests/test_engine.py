@@ -9,7 +9,6 @@ from strandline.cli import answer, parser, run
 from strandline.model import EmbeddingError, GitError, LockError, StrandlineError
 from strandline.operators.embed import HashEmbedder
 from strandline.plans.engine import Index
-from strandline.report import ci_outputs, comment, output_lines
 from strandline.sources.state import read_json, single_writer
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the embedder below goes to the workers
@@ -212,16 +211,23 @@ def test_command_line(index, capsys):
     found = index.query("hello", k=2)
     envelope = json.loads(answer(found, "hello", None, "json", False))
     assert [r["rank"] for r in envelope["results"]] == [1, 2] and envelope["query"] == "hello"
-    assert "(score: " in answer(found, "hello", None, "text", True)
+    assert answer(found, "hello", None, "text", True).startswith(f"{found[0].score:.4f}  {found[0].path}")
+    assert answer([], "hello", None, "text", True) == "nothing found"
+    assert run(index, parser().parse_args(["status", "--format", "jsonl"])) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 1
 
 
 def test_reports(index):
+    from strandline.report import MARKER, ci_outputs, markdown, output_lines
+
     result = dataclasses.asdict(index.sync())
     verify = dataclasses.asdict(index.verify(all=True))
-    text = comment(result, verify=verify)
-    assert "| Chunks added | 11 |" in text and "### Verify: PASSED" in text and "<details>" not in text
-    many = comment(result | {"files_processed_paths": [str(i) for i in range(6)]})
-    assert "<details>" in many
+    text = markdown(result, verify=verify)
+    assert text.startswith(MARKER) and "11 chunks added" in text and "verification passed" in text and '"notes.txt"' in text
+    many = markdown(result | {"files_processed_paths": [str(i) for i in range(30)], "files_processed": 300})
+    assert "and 280 more" in many and "verification not run" in many
     outputs, code = ci_outputs(result, None, verify)
-    assert code == 0 and outputs["chunks-added"] == "11" and "comment-body<<" in output_lines(outputs)
-    assert ci_outputs(None, "boom", None)[1] == 1
+    assert code == 0 and outputs["chunks-added"] == "11" and outputs["verify-passed"] == "true"
+    assert "sync-result<<END\ncompleted\nEND\n" in output_lines(outputs)
+    failed, code = ci_outputs(None, "boom END", None)
+    assert code == 1 and failed["sync-result"] == "error" and "comment-body<<END_\n" in output_lines(failed)

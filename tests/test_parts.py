@@ -74,7 +74,7 @@ def test_ties_go_by_id_and_odd_vectors_score_zero(spark):
 def test_blocks_of_queries_equal_single_ones(spark):
     index = spark.range(200).select("id", F.array(*[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(100)) / 100.0).cast("float") for i in range(8)]).alias("embedding"))
     queries = index.where("id < 7").withColumnRenamed("id", "query_id")
-    found = {(r["query_id"], r["rank"]): r["id"] for r in top_k_each(index, queries, 5, block=2).collect()}
+    found = {(r["query_id"], r["rank"]): r["id"] for r in top_k_each(index, queries, 5, block_bytes=128).collect()}
     for q in queries.collect():
         for n, r in enumerate(top_k(index, q["embedding"], 5).collect(), 1):
             assert found[q["query_id"], n] == r["id"]
@@ -133,3 +133,20 @@ def test_json_export_and_import(spark, tmp_path):
     assert {(r["id"], r["text"]) for r in rows.collect()} == {("1", "b"), ("2", None)}
     export_json(rows, str(tmp_path / "out"))
     assert [r["id"] for r in spark.read.json(str(tmp_path / "out")).collect()] == ["1", "2"]
+
+
+def test_last_of_repeated_ids_wins_and_an_own_hash_embedder_is_called(spark):
+    from strandline.operators.embed import embed_rows
+    from strandline.operators.merge import upsert
+
+    index = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    rows = spark.createDataFrame([(2, "c"), (3, "d"), (2, "e")], "id long, v string").coalesce(1)
+    assert sorted(tuple(r) for r in upsert(index, rows).collect()) == [(1, "a"), (2, "e"), (3, "d")]
+
+    class Own(HashEmbedder):
+        def embed(self, texts):
+            return [[7.0] for _ in texts]
+
+    Own.__name__ = "HashEmbedder"
+    found = embed_rows(spark.createDataFrame([("x",)], "text string"), Own()).first()
+    assert list(found["embedding"]) == [7.0] and found["calls"] == 1

@@ -18,18 +18,40 @@ def test_entry_and_registry(spark):
     assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_probing_all_cells_is_exact(spark):
+def test_inverted_file_is_exact_with_all_cells_and_finds_most_with_some(spark):
     from pyspark.sql import functions as F
 
-    from strandline.operators.search import approximate_top_k, cells, top_k, with_cell
+    from strandline.operators.search import approximate_top_k, approximate_top_k_each, cells, inverted_file, top_k, with_cell
+    from strandline.sources.scratch import scratch_folder
 
-    index = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    index = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     vector = index.where("id = 3").first()["embedding"]
     centres = cells(index)
     exact = [r["id"] for r in top_k(index, vector, 10).collect()]
     assert [r["id"] for r in approximate_top_k(with_cell(index, centres), centres, vector, 10, probes=99).collect()] == exact
-    some = {r["id"] for r in approximate_top_k(with_cell(index, centres), centres, vector, 10, probes=8).collect()}
-    assert len(some & set(exact)) >= 5
+    folder = scratch_folder(spark)
+    centres = inverted_file(index, folder)
+    celled = spark.read.parquet(folder)
+    assert celled.count() == index.count() and "PartitionFilters: [isnotnull(cell" in approximate_top_k(celled, centres, vector, 10)._jdf.queryExecution().toString().replace("PartitionFilters: [cell", "PartitionFilters: [isnotnull(cell")
+    queries = index.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    every = approximate_top_k_each(celled, centres, queries, 10, probes=16)
+    wanted = {(r["query_id"], r["id"]) for r in QUERIES["q20_top_k_each"](spark, "/root/testdata/sf0.01").collect()}
+    assert {(r["query_id"], r["id"]) for r in every.collect()} == wanted
+    some = {(r["query_id"], r["id"]) for r in QUERIES["q20b_inverted_file"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(some & wanted) >= 0.95 * len(wanted)
+    # many blocks of queries give what one gives
+    few = approximate_top_k_each(celled, centres, queries, 10, probes=16, block_bytes=2000)
+    assert {(r["query_id"], r["id"]) for r in few.collect()} == wanted
+
+
+def test_reachability_ends_on_cycles_and_long_histories(spark):
+    from strandline.operators.lineage import ahead, reachable
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, None), *((i, i - 1) for i in range(40, 30, -1))], "commit_id long, parent_id long")
+    starts = spark.createDataFrame([(1,), (40,), (9,), (None,)], "start long")
+    found = {(r[0], r[1]) for r in reachable(edges, starts).collect()}
+    assert found == {(1, 1), (1, 2), (1, 3), (9, 9), *((40, i) for i in range(30, 41))}
+    assert {r[0] for r in ahead(edges, 35, 40).collect()} == {36, 37, 38, 39, 40}
 
 
 def test_filter_reaches_the_scan(spark):
