@@ -317,6 +317,63 @@ def test_leaks_are_found_and_measured(spark, make, words):
     assert {r["doc_id"] for r in clean.collect()} == set(texts) - {d for d, _ in found}
 
 
+def leak_recall(share, rng, trials=100, least=100, most=1500):
+    """Share of edited items, within the allowed edits by brute force, that are found in their texts; and the number of others found."""
+    table = decontam.fold_table()
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+
+    def text(size):
+        out = ""
+        while len(out) < size:
+            out += rng.choice(vocabulary) + " "
+        return out[:size].strip()
+
+    originals = [text(rng.randint(least, most)) for _ in range(trials)]
+    items = decontam.prepare(list(range(trials)), originals, table)
+    changed = [edited(t, int(len(t) * share), rng) for t in originals]
+    near = [distance(t, c) <= int(len(t) * decontam.ALLOWED) for t, c in zip(originals, changed, strict=True)]
+    docs = [f"{text(200)} {c} {text(200)}" for c in changed]
+    found = {(d, i) for d, i, _, _ in decontam.leaks(docs, items, table, {})}
+    wanted = {(i, i) for i in range(trials) if near[i]}
+    return len(found & wanted) / len(wanted), len(found - wanted)
+
+
+def test_leaks_are_found_up_to_the_allowed_edits():
+    rng = random.Random(21)
+    for share in (0.03, 0.09, 0.12, 0.15):
+        recall, others = leak_recall(share, rng, trials=25, most=900)
+        assert recall >= 0.95, share
+        assert others <= 1  # an item whose edits undo one another
+    assert leak_recall(0.06, rng, trials=40, least=32, most=60)[0] >= 0.9
+
+
+def test_without_its_walks_the_embedding_finds_less(monkeypatch):
+    """Walks that always move on turn the embedding into the text itself, in which an insertion shifts all that follows."""
+    walks = decontam._walks
+
+    def plain(width):
+        bits, places = walks(width)
+        return np.minimum(np.ones_like(bits), np.arange(256, dtype=np.uint8)[None, None, :]), places // 2
+
+    monkeypatch.setattr(decontam, "_walks", plain)
+    assert leak_recall(0.15, random.Random(22), trials=25, most=600)[0] < leak_recall_with(walks, monkeypatch)
+
+
+def leak_recall_with(walks, monkeypatch):
+    monkeypatch.setattr(decontam, "_walks", walks)
+    return leak_recall(0.15, random.Random(22), trials=25, most=600)[0]
+
+
+def test_leaks_in_scripts_without_blanks():
+    rng = random.Random(23)
+    table = decontam.fold_table()
+    text = lambda n: "".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(n))
+    originals = [text(120) for _ in range(20)]
+    items = decontam.prepare(list(range(20)), originals, table)
+    docs = [text(77) + t[:50] + text(3) + t[53:] + text(60) for t in originals]
+    assert {(d, i) for d, i, _, _ in decontam.leaks(docs, items, table, {})} == {(i, i) for i in range(20)}
+
+
 def test_odd_leaks(odd, spark):
     benchmark = spark.createDataFrame([(1, "same words here and there again")], "item_id long, text string")
     assert sorted(r["doc_id"] for r in decontam.find_leaks(odd, benchmark).collect()) == [4, 4, 5]
