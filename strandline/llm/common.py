@@ -16,6 +16,7 @@ from pyspark.sql.types import StructField, StructType
 PART_ROWS = 500
 BATCH_ROWS = 1_000
 PLACES = 1 << 26
+THIN_ROWS = 500_000
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -79,6 +80,12 @@ def cut_lineage(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
         conf.set(key, before)
 
 
+def cut_thin(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """As `cut_lineage`, for rows of a few numbers: they go on in as few partitions as they fill, so small graphs cost few tasks and files."""
+    done = cut_lineage(df, batch_rows)
+    return done.coalesce(max(2, -(-done.count() // THIN_ROWS)))  # one alone would draw what it is joined with into one task
+
+
 def sample_share(rows: int, bound: int) -> float:
     """Share of rows to take so that about `bound` come out."""
     return min(1.0, bound / max(rows, 1))

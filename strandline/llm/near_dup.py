@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut_lineage, in_sample, releasing, sample_share, whole_text, with_maybe, with_text_columns
+from strandline.llm.common import cut_lineage, cut_thin, in_sample, releasing, sample_share, whole_text, with_maybe, with_text_columns
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -416,15 +416,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels spread along the edges, then every node takes the label of its label; until nothing changes.
     """
-    both = cut_lineage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = cut_thin(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-    labels = cut_lineage(labels)
+    labels = cut_thin(labels)
     while True:
         spread = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         moved = labels.join(spread.select(F.col("a").alias("node"), "m"), "node").select("node", F.least("label", "m").alias("label"), F.col("label").alias("old"))
-        moved = cut_lineage(moved)
+        moved = cut_thin(moved)
         jump = moved.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = cut_lineage(moved.join(jump, "label", "left").select("node", F.coalesce("further", "label").alias("label"), "old"))
+        jumped = cut_thin(moved.join(jump, "label", "left").select("node", F.coalesce("further", "label").alias("label"), "old"))
         if jumped.where("label <> old").isEmpty():
             return jumped.select("node", "label")
         labels = jumped.select("node", "label")
@@ -444,14 +444,14 @@ def compared(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     """The pairs whose bags (node, bag) overlap by `least` or more. A node of many pairs meets them in several places."""
     mine = bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
     full = pairs.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
-    busy = cut_lineage(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("a", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
+    busy = cut_thin(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("a", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
     if busy.isEmpty():
         full = full.join(mine, "a")
     else:
         parts = F.coalesce("parts", F.lit(1))
         full = full.join(busy, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("parts")
         full = full.join(mine.join(busy, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts"), ["a", "part"])
-    return cut_lineage(full.select("a", "b", "bag_a", "bag_b").mapInArrow(_compared(least), "a long, b long"), BATCH_ROWS)
+    return cut_thin(full.select("a", "b", "bag_a", "bag_b").mapInArrow(_compared(least), "a long, b long"), BATCH_ROWS)
 
 
 def linked(pairs: DataFrame, texts: DataFrame, rows: DataFrame, least: float) -> DataFrame:
@@ -471,7 +471,7 @@ def joined_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     merged = components(ends.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).where("a <> b"))
     new = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels.select("node"), "node", "left_anti").withColumn("label", F.col("node"))
     both = labels.unionByName(new)
-    return cut_lineage(both.join(merged.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("node", F.coalesce("least", "label").alias("label")))
+    return cut_thin(both.join(merged.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("node", F.coalesce("least", "label").alias("label")))
 
 
 def text_sha() -> Column:
@@ -486,21 +486,21 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     grouped = signed.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     texts = cut_lineage(grouped.withColumn("node", F.monotonically_increasing_id()), BATCH_ROWS)
     banded = texts.where(F.col("bands").isNotNull()).select("node", "bands", "sig")
-    pairs = cut_lineage(first_pairs(banded))
+    pairs = cut_thin(first_pairs(banded))
     edges = linked(pairs, texts, rows, least)
     labels = components(edges)
-    further = cut_lineage(further_pairs(banded, labels).join(pairs, ["a", "b"], "left_anti"))
+    further = cut_thin(further_pairs(banded, labels).join(pairs, ["a", "b"], "left_anti"))
     more = linked(further, texts, rows, least)
     labels = joined_components(labels, more)
     edges = edges.union(more)
-    still = cut_lineage(open_buckets(banded, labels))
+    still = cut_thin(open_buckets(banded, labels))
     if not still.isEmpty():
         bags = bags_of(still.select("node").distinct(), texts, rows)
         rest = block_pairs(still.where(F.col("n") <= WIDE), bags, least)
         wide = still.where(F.col("n") > WIDE).select("node", "label").distinct()
         if not wide.isEmpty():
             rest = rest.union(exact_pairs(bags.join(wide, "node").select("node", "label", "bag"), least)).distinct()
-        rest = cut_lineage(rest.join(pairs, ["a", "b"], "left_anti").join(further, ["a", "b"], "left_anti"))
+        rest = cut_thin(rest.join(pairs, ["a", "b"], "left_anti").join(further, ["a", "b"], "left_anti"))
         last = compared(rest, bags, least)
         labels = joined_components(labels, last)
         edges = edges.union(last)
