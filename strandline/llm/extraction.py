@@ -16,7 +16,7 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes xmp noscript template svg math object canvas audio video".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp noscript template svg object canvas audio video".split())
 NOISE_TAGS = frozenset("nav footer aside form button select dialog menu fieldset head".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 NOISE_NAMES = frozenset(
@@ -25,6 +25,7 @@ NOISE_NAMES = frozenset(
     "cookie cookies consent gdpr notice notices disclaimer popup modal overlay banner newsletter subscribe subscription signup signin login "
     "comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations widget widgets skip".split()
 )
+NEUTRAL_NAMES = frozenset("area bar block body bottom box button buttons center container content footer group holder inner item items left link links list main middle outer page panel right row section site slot text top unit wrap wrapper".split())
 KEPT_TAGS = frozenset("html body main article".split())
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -42,44 +43,48 @@ ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether the element is a menu, header, footer, sidebar, notice, advert, form or reader comments by its tag or name."""
-    if tag in KEPT_TAGS:
-        return False
-    if tag in NOISE_TAGS or tag == "header" and not in_article:
-        return True
+HINTED = 0.3  # what remains of the density of an element that its tag or name makes suspect
+SHARE = 0.2  # of the main subtree's sum, from which a subtree beside it belongs to the text
+MOST_HINTED = 0.5  # of the main subtree's sum, up to which a suspect element inside goes
+NO_HINT, BY_NAME, BY_TAG, HIDDEN = range(4)
+
+
+def _is_noise_name(name: str) -> bool:
+    """Whether a class or id says noise as a whole: every part of it names noise or nothing in particular, and one names noise."""
+    parts = [p.lower() for p in NAME_PARTS.findall(name)]
+    return any(p in NOISE_NAMES for p in parts) and all(p in NOISE_NAMES or p in NEUTRAL_NAMES for p in parts)
+
+
+def _hint(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether the element's tag, role or name makes it a menu, header, footer, sidebar, notice, advert, form or reader comments; or it is hidden."""
+    found = BY_TAG if tag in NOISE_TAGS or tag == "header" and not in_article else NO_HINT
     if not attributes or attributes.isspace():
-        return False
+        return found
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "role":
-            if value.strip().lower() in NOISE_ROLES:
-                return True
+            return HIDDEN
+        if tag in KEPT_TAGS or in_article and value.lower() in ("header", "banner"):
             continue
-        for name in value.split():
-            parts = [p.lower() for p in NAME_PARTS.findall(name)]
-            if any(p in NOISE_NAMES and not (p == "header" and in_article) and not (i and parts[i - 1] in ("has", "with", "no")) for i, p in enumerate(parts)):
-                return True
-    return False
+        if key == "role" and value.strip().lower() in NOISE_ROLES or key in ("class", "id") and any(map(_is_noise_name, value.split())):
+            found = max(found, BY_NAME)
+    return found
 
 
 class _Page:
-    """Block nodes of a page in page order, with what stands in each of them."""
+    """All elements of a page in page order, with what stands in each of them."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.noise = ["#root"], [-1], [False]
+        self.tag, self.parent, self.hint = ["#root"], [-1], [NO_HINT]
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
-        self.holds_article = [False]
         self.texts: list[tuple[int, int, str]] = []  # node, number of the text block, text
-        stack: list[tuple[str, int]] = [("#root", 0)]
+        stack: list[int] = [0]
         open_: dict[str, int] = {}
         block = links = at = 0
 
         def text(part: str) -> None:
             if part:
-                node = stack[-1][1]
+                node = stack[-1]
                 part = entities.unescape(part) if "&" in part else part
                 self.texts.append((node, block, part))
                 n = len(part.strip())
@@ -90,7 +95,7 @@ class _Page:
         def pop_to(names: tuple[str, ...]) -> None:
             nonlocal links, block
             while True:
-                tag = stack.pop()[0]
+                tag = self.tag[stack.pop()]
                 open_[tag] -= 1
                 links -= tag == "a"
                 block += tag in BLOCKS
@@ -98,10 +103,10 @@ class _Page:
                     return
 
         def in_scope(names: tuple[str, ...]) -> bool:
-            for tag, _ in reversed(stack):
-                if tag in names:
+            for node in reversed(stack):
+                if self.tag[node] in names:
                     return True
-                if tag in BARRIERS:
+                if self.tag[node] in BARRIERS:
                     return False
             return False
 
@@ -123,99 +128,94 @@ class _Page:
                     end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
                     at = end.end() if end else len(source)
                 continue
-            node = stack[-1][1]
             if tag in VOID:
-                self.tags[node] += 1
+                self.tags[stack[-1]] += 1
                 if tag in ("br", "hr", "img"):
-                    self.texts.append((node, block, " "))
+                    self.texts.append((stack[-1], block, " "))
                 block += tag == "hr"
                 continue
             if tag in BLOCKS and open_.get("p") and in_scope(("p",)):
                 pop_to(("p",))
             if tag in CLOSES and any(open_.get(x) for x in CLOSES[tag]) and (in_scope(CLOSES[tag])):
                 pop_to(CLOSES[tag])
-            node = stack[-1][1]
-            if tag in BLOCKS:
-                block += 1
-                self.tag.append(tag)
-                self.parent.append(node)
-                self.noise.append(_is_noise(tag, attributes, bool(open_.get("article"))))
-                for column in (self.chars, self.link_chars, self.link_tags):
-                    column.append(0)
-                self.tags.append(1)
-                self.holds_article.append(tag in ("article", "main"))
-                node = len(self.tag) - 1
-            else:
-                self.tags[node] += 1
-                if tag == "a":
-                    self.link_tags[node] += 1
-                    links += 1
-            stack.append((tag, node))
+            block += tag in BLOCKS
+            self.tag.append(tag)
+            self.parent.append(stack[-1])
+            self.hint.append(_hint(tag, attributes, bool(open_.get("article"))))
+            self.chars.append(0)
+            self.link_chars.append(0)
+            self.tags.append(1)
+            self.link_tags.append(tag == "a")
+            links += tag == "a"
+            stack.append(len(self.tag) - 1)
             open_[tag] = open_.get(tag, 0) + 1
         text(source[at:])
-
-
-def _selected(page: _Page) -> list[bool]:
-    """Which nodes belong to the main text."""
-    n = len(page.tag)
-    parent, noise = page.parent, page.noise
-    for i in range(n - 1, 0, -1):
-        if page.holds_article[i]:
-            page.holds_article[parent[i]] = True
-    for i in range(1, n):  # an element around the article is no menu, whatever its name
-        noise[i] = noise[parent[i]] or noise[i] and (not page.holds_article[i] or page.tag[i] in NOISE_TAGS)
-    chars, tags, link_chars, link_tags = page.chars, page.tags, page.link_chars, page.link_tags
+        # what stands in an element counts for all around it
+        for i in range(len(self.tag) - 1, 0, -1):
+            if self.hint[i] != HIDDEN:
+                for column in (self.chars, self.tags, self.link_chars, self.link_tags):
+                    column[self.parent[i]] += column[i]
+
+    def densities(self) -> list[float]:
+        """Composite text density of every element: characters a tag, lowered by the share of links in it and in the page.
+
+        The logarithm's base is the inner expression of the published formula itself: its own logarithm is
+        one on pages without links.
+        """
+        body = next((i for i, tag in enumerate(self.tag) if tag == "body"), 0)
+        links = self.link_chars[body] / max(self.chars[body], 1)
+        out = []
+        for c, t, lc, lt in zip(self.chars, self.tags, self.link_chars, self.link_tags, strict=True):
+            t, lc, lt = max(t, 1), max(lc, 1), max(lt, 1)
+            base = math.log(c / max(c - lc, 1) * lc + links * c + math.e)
+            out.append(c / t * math.log(max(c / lc * t / lt, 1.0)) / base if c else 0.0)
+        return out
+
+
+def _selected(page: _Page, hints: bool = True) -> list[bool]:
+    """Which elements belong to the main text; without `hints` densities alone say so."""
+    parent, n = page.parent, len(page.tag)
+    suspect = [h if hints or h == HIDDEN else NO_HINT for h in page.hint]
+    density = page.densities()
+    weight = [1.0] * n
+    for i in range(1, n):
+        weight[i] = weight[parent[i]] * (0.0 if suspect[i] == HIDDEN else HINTED if suspect[i] else 1.0)
+        density[i] *= weight[i]
+    total = [0.0] * n
     for i in range(n - 1, 0, -1):
-        if not noise[i]:
-            p = parent[i]
-            chars[p] += chars[i]
-            tags[p] += tags[i]
-            link_chars[p] += link_chars[i]
-            link_tags[p] += link_tags[i]
+        total[parent[i]] += density[i]
     body = next((i for i in range(n) if page.tag[i] == "body"), 0)
-    whole_chars, whole_links = max(chars[body], 1), link_chars[body]
-    density = [0.0] * n
-    total = [0.0] * n
-    children = [0] * n
-    for i in range(n - 1, -1, -1):
-        if noise[i] or not chars[i]:
-            continue
-        c, t, lc, lt = chars[i], max(tags[i], 1), max(link_chars[i], 1), max(link_tags[i], 1)
-        base = math.log(c / max(c - lc, 1) * lc + whole_links / whole_chars * c + math.e)
-        density[i] = c / t * max(math.log(max(c / lc * t / lt, 1.0)) / base, 0.0)
-        if i:
-            total[parent[i]] += density[i]
-            children[parent[i]] += 1
-    chosen = max(range(n), key=lambda i: (total[i], -i))
-    keep = [False] * n
-    if total[chosen] == 0.0:
-        chosen = body
-    path = [chosen]
+    main = max(range(body, n), key=lambda i: (total[i], -i))
+    if total[main] == 0.0:
+        main = body
+    most = total[main]
+    path = [main]
     while path[-1] not in (body, 0):
         path.append(parent[path[-1]])
     threshold = min(density[i] for i in path)
-    chosen = next((i for i in reversed(path) if page.tag[i] in ("article", "main")), chosen)
-    keep[chosen] = True
-    on_path = set(path)
-    # elsewhere, what is at least as dense as the sparsest step to the body belongs to the text too
-    best = list(range(n))
-    for i in range(n - 1, 0, -1):
-        if total[best[i]] > total[best[parent[i]]] and not noise[i]:
-            best[parent[i]] = best[i]
-    for i in range(1, n):
-        if not noise[i] and i not in on_path and density[i] >= threshold > 0:
-            keep[best[i]] = True
+    if hints:  # the article around it
+        main = next((i for i in reversed(path) if page.tag[i] in ("article", "main")), main)
+    holds = set(path)
+    keep = [False] * n
+    keep[main] = True
     for i in range(1, n):
-        keep[i] = (keep[i] or keep[parent[i]]) and not noise[i]
+        worth = max(total[i], density[i])
+        if i in holds:
+            keep[i] = keep[i] or keep[parent[i]]
+        elif keep[parent[i]]:
+            keep[i] = suspect[i] not in (BY_TAG, HIDDEN) and (suspect[i] != BY_NAME or worth >= MOST_HINTED * most)
+        elif parent[i] in holds and not suspect[i]:
+            # beside the way to the body: as dense as the sparsest step of that way, and no small part
+            keep[i] = density[i] >= threshold > 0 and worth >= SHARE * most
     return keep
 
 
-def main_text(source: str | None) -> str:
+def main_text(source: str | None, hints: bool = True) -> str:
     """The main text of one page: blocks in page order, white space inside each and between them one space."""
     if not source:
         return ""
     page = _Page(source)
-    keep = _selected(page)
+    keep = _selected(page, hints)
     blocks: dict[int, list[str]] = {}
     for node, block, part in page.texts:
         if keep[node]:
@@ -235,11 +235,12 @@ def _extract():
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
-    For every block element the density is characters per tag, lowered by links; a node's sum is that of
-    its children's densities. The subtree with the largest sum is the main text (with the `article` or
-    `main` around it), and so is whatever is denser than the sparsest node on the way from it to the body.
-    Menus, headers, footers, sidebars, notices, adverts, forms and comments known by tag, role or class go
-    before. Null, empty and text-free pages give the empty text. Pages are independent rows: repeated ones
+    For every element the density is characters per tag, lowered by links; an element's sum is that of its
+    children's densities. The subtree with the largest sum is the main text (with the `article` or `main`
+    around it), and so is what stands beside its way to the body, is as dense as the sparsest step of that way
+    and has a fifth of its sum. Tags, roles and whole names of menus, headers, footers, sidebars, notices,
+    adverts, forms and comments are hints: they lower densities, and inside the main text what they name
+    goes, unless the main text lies in it or, for names, it holds half of the sum. Hidden elements go. Null, empty and text-free pages give the empty text. Pages are independent rows: repeated ones
     give repeated rows, an empty table none; extra columns are not read.
     """
     return with_text_columns(pages.select("page_id", "url", "html"), _extract, "text string, n_chars long")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, langid, pii, toxicity
+from strandline.llm import decontam, extraction, langid, pii, toxicity
 from strandline.llm.extraction import extract_pages, main_text
 
 # Extraction
@@ -44,6 +44,70 @@ def test_broken_pages():
     assert main_text("<table><tr><td>1<td>2<tr><td>3</table>") == "1 2 3"
 
 
+def random_tree(rng, depth=0):
+    """(markup, characters, tags, characters in links, links, children) of a random element, counted while it is written."""
+    tag = rng.choice(["div", "section", "span", "b", "a"] if depth else ["div"])
+    link = tag == "a"
+    out, chars, tags, lc, lt, children = "", 0, 1, 0, int(link), []
+    for _ in range(rng.randint(1, 4)):
+        if depth < 4 and not link and rng.random() < 0.6:
+            child = random_tree(rng, depth + 1)
+            if tag in ("span", "b") and any(t in child[0] for t in ("<div", "<section")):
+                continue
+            out, chars, tags, lc, lt = out + child[0], chars + child[1], tags + child[2], lc + child[3], lt + child[4]
+            children.append(child)
+        else:
+            word = "x" * rng.randint(1, 60)
+            out, chars, lc = out + word, chars + len(word), lc + len(word) * link
+    return f"<{tag}>{out}</{tag}>", chars, tags, lc, lt, children
+
+
+def test_densities_are_those_of_the_formula():
+    rng = random.Random(31)
+    for _ in range(200):
+        tree = random_tree(rng)
+        page = extraction._Page(f"<body>{tree[0]}</body>")
+        wanted, queue = [], [tree]
+        while queue:
+            markup, c, t, lc, lt, children = queue.pop(0)
+            ratio = max(c / max(lc, 1) * t / max(lt, 1), 1)
+            base = np.log(c / max(c - lc, 1) * max(lc, 1) + tree[3] / max(tree[1], 1) * c + np.e) if lc else np.log(c / max(c - 1, 1) + tree[3] / max(tree[1], 1) * c + np.e)
+            wanted.append(c / t * np.log(ratio) / base if c else 0.0)
+            queue = children + queue
+        # page order: an element before its children
+        assert np.allclose(page.densities()[2:], wanted), tree[0]
+        total = [0.0] * len(page.tag)
+        for i, d in enumerate(page.densities()):
+            if i:
+                total[page.parent[i]] += d
+        kept = extraction._selected(page, hints=False)
+        assert kept[max(range(1, len(total)), key=lambda i: (total[i], -i))] or max(total[1:]) == 0
+
+
+def test_density_finds_most_articles_without_tags_and_names():
+    import pandas as pd
+
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")["html"]
+    same = sum(main_text(h.replace("<article>", "<div>").replace("</article>", "</div>"), hints=False) == main_text(h) for h in pages)
+    assert same >= 0.8 * len(pages)
+
+
+def test_names_are_hints():
+    theorem = ARTICLE.replace("<p>Second", "<div class='notice-of-theorem'>Let <math><mi>x</mi>=2</math> hold.</div><p>Second")
+    assert "Let x=2 hold." in main_text(theorem)
+    page = f"<body><div class=comments>{ARTICLE.replace('article>', 'div>')}</div><div>short</div></body>"
+    assert "Second paragraph" in main_text(page)
+    assert main_text(f"<form id=page>{ARTICLE}</form>") == TEXT
+
+
+def test_a_long_page_takes_time_in_proportion():
+    paragraph = "<p>Some <b>text</b> with <a href=x>a link</a> and words enough to be dense, again and again.</p>"
+    for page in (f"<article>{paragraph * 40_000}</article>", "<div>" * 100_000 + "x" * 100 + "</div>" * 100_000, "<p>" + "word &amp; " * 400_000):
+        began = time.process_time()
+        assert main_text(page)
+        assert time.process_time() - began < 60
+
+
 def test_pages_table(spark, sf):
     rows = spark.createDataFrame([(1, "u", None, "z"), (1, "u", None, "z"), (None, None, ARTICLE, "z")], "page_id long, url string, html string, text string")
     found = extract_pages(rows).collect()
