@@ -33,12 +33,12 @@ def validity(entries: DataFrame) -> DataFrame:
 
 
 def _keys(host: Column, path: Column, depth: int) -> Column:
-    """Everything an entry may name to mean this URL: the host, each domain above it, each path prefix."""
+    """Everything an entry may name to mean this URL: the host, the host and each domain above it, the host alone and with each path prefix."""
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     steps = F.filter(F.split(path, "/"), lambda x: x != "")
     last = F.least(F.size(steps), F.lit(depth))
-    prefixes = F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
+    prefixes = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat_ws("/", F.array(host), F.slice(steps, F.lit(1), i)))
 
     def named(kind: str, values: Column) -> Column:
         return F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("pattern")))
@@ -49,8 +49,9 @@ def _keys(host: Column, path: Column, depth: int) -> Column:
 def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per capture (page_id, url, fetched_on): these, blocked, n_entries, first_entry.
 
-    entries: list, kind (`host`: that host; `domain`: the host or any below it; `prefix`: host and leading
-    path segments, as `host/a/b`), pattern, action (`add`, `remove`), effective_on. An entry counts where
+    entries: list, kind (`host`: that host; `domain`: the host or any below it, of one label too; `prefix`:
+    host and leading path segments, as `host/a/b`), pattern, action (`add`, `remove`), effective_on. Hosts,
+    paths and patterns compare in lower case; empty path segments and slashes at the end of a pattern say nothing. An entry counts where
     it holds on the day of the capture: from its own day on, before the day of its successor. first_entry
     is the least `list|kind|pattern` that counts. Null or hostless URLs and null days are not blocked.
     Repeated captures repeat; an empty list blocks nothing; extra columns are not read.
@@ -58,7 +59,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     Equal captures are judged once. Each entry's interval is laid out by the years it covers, so a capture
     meets only the intervals of its own key and year; which side is broadcast follows the measured sizes.
     """
-    spans = validity(entries.select("list", F.lower("kind").alias("kind"), F.lower("pattern").alias("pattern"), "action", "effective_on"))
+    tidy = F.rtrim(F.regexp_replace(F.lower("pattern"), "//+", "/"), F.lit("/"))
+    spans = validity(entries.select("list", F.lower("kind").alias("kind"), tidy.alias("pattern"), "action", "effective_on"))
     deepest = spans.where(F.col("kind") == "prefix").agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
     days = captures.agg(F.min("fetched_on"), F.max("fetched_on")).first()
     first, last = (F.lit(d).cast("date") for d in (days[0], days[1]))

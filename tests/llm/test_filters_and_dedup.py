@@ -53,6 +53,14 @@ def test_captures_meet_what_held_on_their_day(spark):
 # Exact copies
 
 
+def test_short_domains_and_closing_slashes(spark):
+    entries = [("l", "domain", "zip", "add", day(0)), ("l", "prefix", "ok.org/x//", "add", day(0)), ("l", "prefix", "all.org/", "add", day(0)), ("l", "host", "h.org", "add", day(0))]
+    cases = [("http://a.b.zip/q", True), ("http://zip/", True), ("http://zipper.org/", False), ("http://ok.org/X/y", True), ("http://ok.org/xy", False), ("http://ok.org//x/", True), ("http://all.org/", True), ("http://all.org/p/q", True), ("http://sub.all.org/", False), ("http://h.org/p", True), ("http://", False)]
+    captures = spark.createDataFrame([(i, u, day(1), "", "") for i, (u, _) in enumerate(cases)], CAPTURES)
+    found = {r["page_id"]: r["blocked"] for r in filter_captures(captures, spark.createDataFrame(entries, ENTRIES)).collect()}
+    assert [found[i] for i in range(len(cases))] == [b for _, b in cases]
+
+
 def test_exact_copies(odd, spark):
     rows = exact_dedup(odd).collect()
     assert len(rows) == 11
@@ -68,6 +76,22 @@ def test_exact_copies(odd, spark):
     assert exact_dedup(odd.limit(0)).count() == 0 and drop_exact_copies(odd.limit(0)).count() == 0
 
 
+def test_a_filter_in_parts_lets_few_unique_rows_shuffle(make):
+    docs = make([f"text {i}" for i in range(3000)] + ["text 7"] * 2)
+    seen = with_repeats(docs, max_bits=8192)
+    assert seen.count() == 3002
+    maybe = [r["row"]["text"] for r in seen.where("maybe").collect()]
+    assert maybe.count("text 7") == 3 and len(maybe) < 60
+    assert sorted(map(tuple, exact_dedup(docs, max_bits=8192).collect())) == sorted(map(tuple, exact_dedup(docs).collect()))
+
+
+def test_a_large_group_and_one_row_many_times(make):
+    rows = exact_dedup(make([(i % 40, "copied often") for i in range(3000)] + [(i, f"t{i % 900}") for i in range(1000)])).collect()
+    large = [r for r in rows if r["group_size"] == 3000]
+    assert len(rows) == 4000 and len(large) == 3000 and {r["keep_id"] for r in large} == {39} and sum(r["kept"] for r in large) == 1
+    assert sum(r["kept"] for r in rows) == 901
+
+
 def test_a_full_filter_changes_no_result(make):
     docs = make([f"text {i % 700}" for i in range(1000)])
     small = exact_dedup(docs, max_bits=4096)
