@@ -14,8 +14,6 @@ from strandline.llm.common import in_sample, sample_share, with_text_columns
 
 BUCKETS = 1 << 16
 ROWS_A_LANGUAGE = 2000
-MOST_LANGUAGES = 200
-LARGEST_SET = 3
 BLOCK_CHARS = 1_500_000
 UNDETERMINED = "und"
 
@@ -59,10 +57,10 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(labelled: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> LanguageModel:
     """Learns trigram counts from about `rows_a_language` rows (doc_id, text, lang) of each language, the same rows each time.
 
-    At most `MOST_LANGUAGES` languages, the most frequent, are learned.
+    A model has `BUCKETS` numbers a language, 256 KiB; every language that there are rows of is learned.
     """
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    seen = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    seen = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     share = F.lit(0.0)
     for r in seen:
         share = F.when(F.col("lang") == r["lang"], sample_share(r["count"], rows_a_language)).otherwise(share)
@@ -76,54 +74,94 @@ def fit(labelled: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> Language
     return LanguageModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32) if languages else np.zeros((BUCKETS, 0), np.float32))
 
 
-def _mixture(p: np.ndarray, of: np.ndarray, starts: np.ndarray, size: np.ndarray, pi: np.ndarray, rounds: int) -> np.ndarray:
-    """Expectation-maximisation of the proportions of every document at once. p: each word's likelihoods."""
+def _mixture(p: np.ndarray, n: np.ndarray, starts: np.ndarray, size: np.ndarray, pi: np.ndarray, rounds: int) -> np.ndarray:
+    """Expectation-maximisation of the proportions of every document at once. p: each word's likelihoods; n: how often it stands there."""
+    lengths = np.diff(np.r_[starts, len(p)])
     for _ in range(rounds):
-        q = p * pi[of]
-        q /= np.maximum(q.sum(axis=1, keepdims=True), 1e-30)
+        q = p * np.repeat(pi, lengths, axis=0)
+        q *= (n / np.maximum(q.sum(axis=1), 1e-30))[:, None]
         pi = np.add.reduceat(q, starts, axis=0) / size[:, None]
     return pi
 
 
-def proportions(texts: list[str], model: LanguageModel, letters: np.ndarray, rounds: int = 10) -> np.ndarray:
-    """Proportions (documents, languages): those of the set of languages whose penalised likelihood is best; zeros without a letter."""
-    k = len(model.languages)
-    out = np.zeros((len(texts), k))
-    if not k:
-        return out
-    joined = "\n".join(texts)
-    if len(joined) > (lengths := sum(map(len, texts))) + len(texts):
-        raise ValueError(f"{lengths} characters became {len(joined)}")
-    place, gram = trigrams(joined, letters)
+def _words(text: str, model: LanguageModel, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, log probabilities by language) of every run of letters."""
+    place, gram = trigrams(text, letters)
     if not len(place):
-        return out
-    bounds = np.cumsum([len(t) + 1 for t in texts])
+        return place, place, np.zeros((0, len(model.languages)), np.float32)
     new = np.ones(len(place), bool)
     new[1:] = place[1:] != place[:-1] + 1
     first = np.flatnonzero(new)
-    log_p = np.add.reduceat(model.log_p[gram], first, axis=0)
-    doc = np.searchsorted(bounds, place[first] - 1, side="right")
+    with np.errstate(over="ignore"):
+        nth = (np.arange(len(place)) - np.repeat(first, np.diff(np.r_[first, len(place)]))).astype(np.uint64)
+        hashes = np.add.reduceat((gram.astype(np.uint64) + nth * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD1342543DE82EF95) ^ (nth << np.uint64(32)), first)
+    return place[first], hashes, np.add.reduceat(model.log_p[gram], first, axis=0)
+
+
+def _of_sets(log_p: np.ndarray, n: np.ndarray, starts: np.ndarray, rounds: int) -> np.ndarray:
+    """Proportions (documents, languages) for words in the order of their documents: of the set of languages with the best penalised likelihood.
+
+    Sets grow by the language with the next largest share, document by document, as long as the likelihood
+    rises by more than the penalty.
+    """
     top = log_p.max(axis=1, keepdims=True)
-    p = np.exp(log_p - top)
-    starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    ids = doc[starts]
-    of = np.repeat(np.arange(len(starts)), size := np.diff(np.r_[starts, len(doc)]))
-    pi = _mixture(p, of, starts, size, np.full((len(starts), k), 1 / k, np.float32), rounds)
+    relative = log_p - top
+    p = np.exp(relative)
+    k = log_p.shape[1]
+    size = np.add.reduceat(n, starts)
+    pi = _mixture(p, n, starts, size, np.full((len(starts), k), 1 / k, np.float32), rounds)
     order = np.argsort(-pi, axis=1, kind="stable")
-    alone = np.add.reduceat(log_p - top, starts, axis=0)
-    best = alone.max(axis=1)
-    chosen = np.eye(k)[alone.argmax(axis=1)]
-    for m in range(2, min(LARGEST_SET, k) + 1):
-        mask = np.zeros_like(pi)
-        np.put_along_axis(mask, order[:, :m], 1, axis=1)
-        some = _mixture(p, of, starts, size, np.maximum(pi, 1e-3) * mask / (np.maximum(pi, 1e-3) * mask).sum(axis=1, keepdims=True), 4)
-        fit_ = np.add.reduceat(np.log(np.maximum((p * some[of]).sum(axis=1), 1e-30)), starts) - (m - 1) * np.log(size + 1.0)
-        better = fit_ > best
-        best, chosen = np.where(better, fit_, best), np.where(better[:, None], some, chosen)
-    out[ids] = chosen
+    alone = np.add.reduceat(relative * n[:, None], starts, axis=0)
+    best, chosen = alone.max(axis=1), np.eye(k)[alone.argmax(axis=1)]
+    lengths = np.diff(np.r_[starts, len(p)])
+    growing = np.arange(len(starts))
+    for m in range(2, k + 1):
+        mine = np.isin(np.repeat(np.arange(len(starts)), lengths), growing) if len(growing) < len(starts) else slice(None)
+        own, weight = p[mine], n[mine]
+        begin = np.r_[0, np.cumsum(lengths[growing])[:-1]]
+        mask = np.zeros((len(growing), k))
+        np.put_along_axis(mask, order[growing, :m], 1, axis=1)
+        start = np.maximum(pi[growing], 1e-3) * mask
+        some = _mixture(own, weight, begin, size[growing], start / start.sum(axis=1, keepdims=True), 4)
+        mixed = np.log(np.maximum((own * np.repeat(some, lengths[growing], axis=0)).sum(axis=1), 1e-30))
+        fit_ = np.add.reduceat(mixed * weight, begin) - (m - 1) * np.log(size[growing] + 1.0)
+        better = fit_ > best[growing]
+        growing = growing[better]
+        if not len(growing):
+            break
+        best[growing], chosen[growing] = fit_[better], some[better]
+    return chosen
+
+
+def proportions(texts: list[str], model: LanguageModel, letters: np.ndarray, rounds: int = 10) -> np.ndarray:
+    """Proportions (documents, languages): those of the set of languages whose penalised likelihood is best; zeros without a letter."""
+    out = np.zeros((len(texts), len(model.languages)))
+    if not len(model.languages):
+        return out
+    place, _, log_p = _words("\n".join(texts), model, letters)
+    if len(place):
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        doc = np.searchsorted(bounds, place - 1, side="right")
+        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        out[doc[starts]] = _of_sets(log_p, np.ones(len(place), np.float32), starts, rounds)
     return out
 
 
+def proportions_of_long(text: str, model: LanguageModel, letters: np.ndarray, rounds: int = 10, block_chars: int = BLOCK_CHARS) -> np.ndarray:
+    """As `proportions`, of one long text: block by block its words meet in a table of distinct words, so memory follows these."""
+    known, n, log_p = np.zeros(0, np.uint64), np.zeros(0, np.float64), np.zeros((0, len(model.languages)), np.float32)
+    at = 0
+    while at < len(text) and len(model.languages):
+        end = min(len(text), at + block_chars)
+        while at < end < len(text) and text[end].isalpha() and text[end - 1].isalpha() and end > at + block_chars // 2:
+            end -= 1
+        _, hashes, own = _words(text[at:end], model, letters)
+        known, first, of = np.unique(np.concatenate([known, hashes]), return_index=True, return_inverse=True)
+        n, log_p = np.bincount(of, np.concatenate([n, np.ones(len(hashes))]), minlength=len(known)), np.concatenate([log_p, own])[first]
+        at = end
+    return _of_sets(log_p, n, np.zeros(1, np.int64), rounds)[0] if len(known) else np.zeros(len(model.languages))
+
+
 def _predicted(model: LanguageModel):
     def make():
         letters = letters_below()
@@ -132,17 +170,23 @@ def _predicted(model: LanguageModel):
             texts = [t.lower() for t in texts]
             found: list[str] = []
             score: list[float] = []
+            def told(shares: np.ndarray) -> None:
+                best = int(shares.argmax()) if len(shares) else 0
+                known = len(shares) > 0 and shares[best] > 0
+                found.append(model.languages[best] if known else UNDETERMINED)
+                score.append(min(1.0, float(shares[best])) if known else 0.0)
+
             at = 0
             while at < len(texts):
                 end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= BLOCK_CHARS):
+                while end < len(texts) and chars + len(texts[end]) <= BLOCK_CHARS:
                     chars += len(texts[end])
                     end += 1
                 for shares in proportions(texts[at:end], model, letters):
-                    best = int(shares.argmax()) if len(shares) else 0
-                    known = len(shares) > 0 and shares[best] > 0
-                    found.append(model.languages[best] if known else UNDETERMINED)
-                    score.append(min(1.0, float(shares[best])) if known else 0.0)
+                    told(shares)
+                if end == at:
+                    told(proportions_of_long(texts[at], model, letters))
+                    end += 1
                 at = end
             return {"lang_pred": found, "score": score}
 
@@ -171,7 +215,7 @@ def identify_languages(documents: DataFrame) -> DataFrame:
     return predict(documents.select("doc_id", held_out(4, 2).alias("held_out"), "text"), model)
 
 
-def keep_identified(documents: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(documents: DataFrame, least: float = 0.25) -> DataFrame:
     """Documents of which one language makes up at least the share `least`, with all their columns.
 
     Goes: texts without letters, and texts in which no language has that share.

@@ -146,6 +146,45 @@ def test_mixed_text_has_both_languages(sf):
     assert not shares[2].any() and not shares[3].any()
 
 
+def mixture_by_hand(log_p, n):
+    """Sets of languages one after another, each fitted by many small steps of expectation and maximisation."""
+    k = log_p.shape[1]
+    p = np.exp(log_p - log_p.max(axis=1, keepdims=True))
+
+    def fitted(languages):
+        pi = np.zeros(k)
+        pi[list(languages)] = 1 / len(languages)
+        for _ in range(2000):
+            q = p * pi
+            q = q / q.sum(axis=1, keepdims=True) * n[:, None]
+            pi = q.sum(axis=0) / n.sum()
+        return pi, (n * np.log((p * pi).sum(axis=1))).sum() - (len(languages) - 1) * np.log(n.sum() + 1)
+
+    return max((fitted(c) for m in range(1, k + 1) for c in itertools.combinations(range(k), m)), key=lambda x: x[1])[0]
+
+
+def test_mixtures_are_the_best_of_all_sets():
+    rng = np.random.default_rng(8)
+    for shares in ([1, 0, 0, 0, 0], [0.5, 0.5, 0, 0, 0], [0.2, 0.3, 0.5, 0, 0], [0.25, 0.25, 0.25, 0.25, 0]):
+        language = rng.choice(5, 400, p=shares)
+        log_p = rng.normal(-8, 0.5, (400, 5)).astype(np.float32)
+        log_p[np.arange(400), language] += 6
+        n = rng.integers(1, 4, 400).astype(np.float32)
+        found = langid._of_sets(log_p, n, np.zeros(1, np.int64), 10)[0]
+        assert np.abs(found - mixture_by_hand(log_p.astype(float), n)).max() < 0.03, shares
+
+
+def test_a_long_text_has_the_shares_of_its_words(sf):
+    docs = sf[1]("documents").where("n_chars > 300")
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    letters = langid.letters_below()
+    text = " ".join(r["text"] for r in docs.limit(60).collect()).lower()
+    whole = langid.proportions([text], model, letters)[0]
+    assert np.abs(langid.proportions_of_long(text, model, letters, block_chars=5000) - whole).max() < 1e-3
+    assert not langid.proportions_of_long("1 2 " * 5000, model, letters, block_chars=5000).any()
+    assert len(langid.proportions_of_long("x" * 50_000, model, letters, block_chars=5000)) == len(model.languages)
+
+
 def test_odd_languages(odd):
     found = {r["doc_id"]: r for r in langid.identify_languages(odd).collect() if r["doc_id"] not in (4,)}
     assert found[1]["lang_pred"] == found[2]["lang_pred"] == found[3]["lang_pred"] == "und" and found[7]["lang_pred"] == "en"
