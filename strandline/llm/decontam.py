@@ -19,11 +19,11 @@ from strandline.llm.near_dup import BASE, mix
 ALLOWED = 0.15  # share of edits up to which a part of a text counts as a leak
 UNCHANGED = 18  # shorter items must occur as they are
 WIDTHS = (32, 24, 16, 8)  # letters of a window: the largest that the item has; shorter items are windows themselves
-WALKS = 4
+WALKS = 2
 SAMPLED = 12  # places of a sample from a window of 32 letters, fewer from shorter ones
 WORST = 0.1  # share of unequal places, in the item's least edited windows, that the target recall is reckoned for
 RECALL = 0.99
-TWO_FROM = 4  # windows of an item from which two of them must be found
+TWO_FROM = 25  # windows of an item from which two of them must be found
 BLOCK_CHARS = 500_000
 ITEM_CHARS = 1_000_000
 MAP_BITS = (16, 24)
@@ -141,6 +141,7 @@ class Items:
     need: np.ndarray  # windows that must be found
     edits: np.ndarray
     index: dict[int, Index]
+    grams: list[np.ndarray]
 
 
 def prepare(ids: list, texts: list[str], table: np.ndarray) -> Items:
@@ -167,7 +168,7 @@ def prepare(ids: list, texts: list[str], table: np.ndarray) -> Items:
         seen = np.zeros(1 << bits, bool)
         seen[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
         index[w] = Index(hashes[order], item[which], starts[which] - begin[item[which]], np.uint64(64 - bits), seen)
-    return Items(ids_, codes, begin, length, need, np.where(length < UNCHANGED, 0, (length * ALLOWED).astype(np.int64)), index)
+    return Items(ids_, codes, begin, length, need, np.where(length < UNCHANGED, 0, (length * ALLOWED).astype(np.int64)), index, [grams(codes[b : b + n]) for b, n in zip(begin, length, strict=True)])
 
 
 def windows(codes: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
@@ -208,6 +209,13 @@ def windows(codes: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     return pairs // reach, pairs % reach - shift
 
 
+def grams(codes: np.ndarray) -> np.ndarray:
+    """Hash of every three successive codes."""
+    c = codes.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return mix((c[:-2] << np.uint64(42)) + (c[1:-1] << np.uint64(21)) + c[2:])
+
+
 def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
     """Least edit distance of the item to any part of the text, and where that part ends (bit-parallel)."""
     n = len(item)
@@ -266,7 +274,11 @@ def leaks(texts: list[str], items: Items, table: np.ndarray, known: dict[tuple[i
                 part = codes[a[i] : b[i]]
                 key = (n, part.tobytes())
                 if (match := known.get(key)) is None:
-                    match = best_match(items.codes[items.begin[n] : items.begin[n] + items.length[n]].tolist(), part.tolist())
+                    # an edit breaks three of the item's grams at most
+                    if np.isin(items.grams[n], grams(part)).sum() < len(items.grams[n]) - 3 * k:
+                        match = (k + 1, 0)
+                    else:
+                        match = best_match(items.codes[items.begin[n] : items.begin[n] + items.length[n]].tolist(), part.tolist())
                     if len(known) < KNOWN:
                         known[key] = match
                 distance, stop = match
