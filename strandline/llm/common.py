@@ -16,7 +16,6 @@ from pyspark.sql.types import StructField, StructType
 PART_ROWS = 500
 BATCH_ROWS = 1_000
 PLACES = 1 << 26
-THIN_ROWS = 500_000
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -81,9 +80,10 @@ def cut_lineage(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
 
 
 def cut_thin(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
-    """As `cut_lineage`, for rows of a few numbers: they go on in as few partitions as they fill, so small graphs cost few tasks and files."""
+    """As `cut_lineage`, for rows of a few numbers, which go on in a sixteenth of the partitions: graphs of thin rows cost few tasks and files."""
     done = cut_lineage(df, batch_rows)
-    return done.coalesce(max(2, -(-done.count() // THIN_ROWS)))  # one alone would draw what it is joined with into one task
+    # one partition alone would draw what it is joined with into one task
+    return done.coalesce(max(2, done.rdd.getNumPartitions() // 16))
 
 
 def sample_share(rows: int, bound: int) -> float:
