@@ -25,8 +25,8 @@ CLASSES = 48
 ROUNDS = 240
 LARGE = 256
 SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)
-CACHE = 350_000
-BLOCK_CHARS = 3_000_000
+CACHE = 300_000
+BLOCK_CHARS = 4_000_000
 
 
 def tokenizer_path() -> str:
@@ -38,18 +38,18 @@ def tokenizer_path() -> str:
 
 @functools.lru_cache(maxsize=1)
 def _vocabulary(path: str):
-    """The tokenizer's batch encoder, and which ids end a unit; a worker process reads it once for all its tasks."""
+    """The tokenizer's batch encoder, which ids end a unit, and the ids of words kept so far; a worker process has them once for all its tasks."""
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
     # letters alone make one unit, whose last id is one of these; a vocabulary without such ids has each word encoded for itself
     ends = np.zeros(made.get_vocab_size(), bool)
     ends[[i for token, i in made.get_vocab().items() if token.endswith(WORD_END)]] = True
-    return made.encode_batch_fast, ends
+    return made.encode_batch_fast, ends, _Known()
 
 
 class _Known(dict):
-    """Ids of words: those that a task keeps and, behind them, those of the block in hand."""
+    """Ids of words: those that are kept and, behind them, those of the block in hand."""
 
     block: dict[str, bytes]
 
@@ -63,8 +63,7 @@ def _pieces(path: str | None, capacity: int, cache_size: int):
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, ends = _vocabulary(path or tokenizer_path())
-        ids = _Known()
+        encode, ends, ids = _vocabulary(path or tokenizer_path())
         end = np.uint32(END_ID).tobytes()
 
         def each(words: list[str]) -> Iterator[tuple[str, bytes]]:
@@ -101,28 +100,38 @@ def _pieces(path: str | None, capacity: int, cache_size: int):
             return new
 
         def coded(texts: list[str]) -> Iterator[bytes]:
-            # few texts at a time: a list of all words of a batch would take far more room than the batch
-            at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= BLOCK_CHARS):
-                    size += len(texts[stop])
-                    stop += 1
-                split = [t.replace("\n", " ").split(" ") for t in texts[at:stop]]
-                ids.block = learned({w for words in split for w in words})
-                for words in split:
-                    yield b"".join(map(ids.__getitem__, words)) + end
-                at = stop
+            split = [t.replace("\n", " ").split(" ") for t in texts]
+            ids.block = learned({w for words in split for w in words})
+            for words in split:
+                yield b"".join(map(ids.__getitem__, words)) + end
+            ids.block = {}
 
-        for batch in batches:
+        def cut(doc_ids: list[pa.Array], texts: list[str]) -> pa.RecordBatch:
             of, out = [], []
-            for row, data in enumerate(coded([t or "" for t in batch.column(1).to_pylist()])):
+            for row, data in enumerate(coded(texts)):
                 for piece, start in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[start : start + 4 * capacity]
                     of.append(row)
                     out.append((piece, start // 4, len(part) // 4, zlib.crc32(part)))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *columns], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(doc_ids).take(pa.array(of)), *columns], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+        # some texts at a time, whatever the batches: few share no words, and the words of too many take much room
+        doc_ids: list[pa.Array] = []
+        texts: list[str] = []
+        size = 0
+        for batch in batches:
+            column = batch.column(1)
+            at = 0
+            for n, text in enumerate(column.to_pylist(), 1):
+                texts.append(text or "")
+                size += len(texts[-1])
+                if size >= BLOCK_CHARS:
+                    yield cut([*doc_ids, batch.column(0).slice(at, n - at)], texts)
+                    doc_ids, texts, size, at = [], [], 0, n
+            doc_ids.append(batch.column(0).slice(at))
+        if texts:
+            yield cut(doc_ids, texts)
 
     return run
 
