@@ -16,6 +16,7 @@ from pyspark.sql.types import StructField, StructType
 PART_ROWS = 500
 BATCH_ROWS = 1_000
 PLACES = 1 << 26
+RANKED_ROWS = 250_000
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -79,11 +80,19 @@ def cut_lineage(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
         conf.set(key, before)
 
 
-def cut_thin(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
-    """As `cut_lineage`, for rows of a few numbers, which go on in a sixteenth of the partitions: graphs of thin rows cost few tasks and files."""
-    done = cut_lineage(df, batch_rows)
-    # one partition alone would draw what it is joined with into one task
-    return done.coalesce(max(2, done.rdd.getNumPartitions() // 16))
+def _narrow(spark: SparkSession) -> int:
+    """A sixteenth of the partitions of a shuffle; one alone would draw what it is joined with into one task."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+
+
+def cut_narrow(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """As `cut_lineage`, for rows of a few numbers that took work to find: they go on in a sixteenth of the partitions."""
+    return cut_lineage(df, batch_rows).coalesce(_narrow(df.sparkSession))
+
+
+def cut_thin(df: DataFrame) -> DataFrame:
+    """As `cut_lineage`, for graphs of thin rows: few tasks make and write them, since files cost more than rows here."""
+    return cut_lineage(df.coalesce(_narrow(df.sparkSession)))
 
 
 def sample_share(rows: int, bound: int) -> float:
@@ -102,13 +111,14 @@ def spread(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
 
 
-def ranked(df: DataFrame, key: str, order: list[str], out: str, buckets: int = 256) -> DataFrame:
+def ranked(df: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
     """Adds `out`, a gapless rank from 0 of the rows of each `key`, without gathering a key in one task.
 
-    Rows scatter over `buckets` by a hash of `order`; a window numbers the rows inside (key, bucket),
-    and the summed counts of the buckets before give the offset. The offsets are at most `buckets`
-    rows a key. Rows that tie in `order` are numbered in any order.
+    Rows scatter over buckets by a hash of `order`, one for every `RANKED_ROWS` rows of `df`, 256 at least
+    and 65,536 at most; a window numbers the rows inside (key, bucket), and the summed counts of the buckets
+    before give the offset. Rows that tie in `order` are numbered in any order. Counts `df`: give files.
     """
+    buckets = min(max(256, df.count() // RANKED_ROWS), 1 << 16)
     df = df.withColumn("_b", spread(order, buckets))
     inner = Window.partitionBy(key, "_b").orderBy(*order)
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

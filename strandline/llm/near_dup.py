@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut_lineage, cut_thin, in_sample, releasing, sample_share, whole_text, with_maybe, with_text_columns
+from strandline.llm.common import cut_lineage, cut_narrow, cut_thin, in_sample, releasing, sample_share, whole_text, with_maybe, with_text_columns
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -451,7 +451,7 @@ def compared(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
         parts = F.coalesce("parts", F.lit(1))
         full = full.join(busy, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("parts")
         full = full.join(mine.join(busy, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts"), ["a", "part"])
-    return cut_thin(full.select("a", "b", "bag_a", "bag_b").mapInArrow(_compared(least), "a long, b long"), BATCH_ROWS)
+    return cut_narrow(full.select("a", "b", "bag_a", "bag_b").mapInArrow(_compared(least), "a long, b long"), BATCH_ROWS)
 
 
 def linked(pairs: DataFrame, texts: DataFrame, rows: DataFrame, least: float) -> DataFrame:
@@ -486,21 +486,21 @@ def classes(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
     grouped = signed.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     texts = cut_lineage(grouped.withColumn("node", F.monotonically_increasing_id()), BATCH_ROWS)
     banded = texts.where(F.col("bands").isNotNull()).select("node", "bands", "sig")
-    pairs = cut_thin(first_pairs(banded))
+    pairs = cut_narrow(first_pairs(banded))
     edges = linked(pairs, texts, rows, least)
     labels = components(edges)
-    further = cut_thin(further_pairs(banded, labels).join(pairs, ["a", "b"], "left_anti"))
+    further = cut_narrow(further_pairs(banded, labels).join(pairs, ["a", "b"], "left_anti"))
     more = linked(further, texts, rows, least)
     labels = joined_components(labels, more)
     edges = edges.union(more)
-    still = cut_thin(open_buckets(banded, labels))
+    still = cut_narrow(open_buckets(banded, labels))
     if not still.isEmpty():
         bags = bags_of(still.select("node").distinct(), texts, rows)
         rest = block_pairs(still.where(F.col("n") <= WIDE), bags, least)
         wide = still.where(F.col("n") > WIDE).select("node", "label").distinct()
         if not wide.isEmpty():
             rest = rest.union(exact_pairs(bags.join(wide, "node").select("node", "label", "bag"), least)).distinct()
-        rest = cut_thin(rest.join(pairs, ["a", "b"], "left_anti").join(further, ["a", "b"], "left_anti"))
+        rest = cut_narrow(rest.join(pairs, ["a", "b"], "left_anti").join(further, ["a", "b"], "left_anti"))
         last = compared(rest, bags, least)
         labels = joined_components(labels, last)
         edges = edges.union(last)

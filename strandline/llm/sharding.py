@@ -93,4 +93,4 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = documents.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.xxhash64(text).alias("group"))
     # the one large group may hold a third of all rows: AQE splits its side of the join
     placed = cut_lineage(rows.join(shard_groups(rows.select("group", "size"), shards), "group").drop("group"))
-    return ranked(placed, "shard", ["doc_id", "text_crc32"], "slot", buckets=1024).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return ranked(placed, "shard", ["doc_id", "text_crc32"], "slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

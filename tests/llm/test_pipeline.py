@@ -27,6 +27,18 @@ def test_stages_in_order(spark, sf):
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
 
 
+def test_odd_rows_pass_all_stages(spark, odd, sf):
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            after = written(stage(spark, docs, sf[0]), name)
+            if name != "packing":
+                assert after.columns == odd.columns and after.count() <= docs.count()
+            docs = after
+        assert set(docs.columns) >= {"doc_id", "piece", "sequence_id", "offset"}
+        ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in docs.select("doc_id").distinct().collect())
+    assert not ids
+
+
 def test_nothing_else_imports_the_subpackage():
     root = Path(corpus_pipeline.__file__).parent
     for path in [*root.glob("strandline/**/*.py"), *root.glob("tests/*.py"), root / "bench.py"]:
