@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strandline.llm.alignment import align_documents, alignment_digest
 from strandline.llm.common import read_table
 from strandline.llm.decontam import find_leaks
 from strandline.llm.exact_dedup import exact_dedup
 from strandline.llm.extraction import extract_pages
+from strandline.llm.hard_negatives import mine_hard_negatives, noisy_labels
 from strandline.llm.langid import identify_languages
+from strandline.llm.license_scan import license_digest, scan_licenses
 from strandline.llm.near_dup import near_duplicates
 from strandline.llm.packing import pack_documents
 from strandline.llm.pii import find_personal_data
@@ -58,7 +62,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_extraction, op4_exact_dedup, op5_decontamination, op6_near_dup, op7_toxicity, op8_language_id, op9_pii, op10_packing)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_hard_negatives(noisy_labels(read_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digest(align_documents(read_table(spark, sf_dir, "documents")))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(scan_licenses(read_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_extraction, op4_exact_dedup, op5_decontamination, op6_near_dup, op7_toxicity, op8_language_id, op9_pii, op10_packing, op11_hard_negatives, op12_alignment, op13_license_scan)}
 
 ORACLES = {
     "op1_url_filter": r"""
@@ -91,4 +107,27 @@ ORACLES = {
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_hard_negatives": """
+        WITH vectors AS (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS whole
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), scores AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+                   CAST(list_sum(list_transform(list_zip(a.whole, b.whole), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.whole) = len(b.whole)
+        ), positives AS (
+            SELECT anchor_id, id, score FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+        ), negatives AS (
+            SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS rank
+            FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same
+              AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+        )
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM negatives WHERE rank <= 10
+    """,
 }
