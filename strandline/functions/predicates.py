@@ -41,3 +41,13 @@ def where(expression: str | None, columns: Iterable[str], strict: bool = True) -
         field = F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")) if name in known else F.lit("")
         clauses.append(field == F.lit(value) if sign == "==" else field != F.lit(value))
     return reduce(Column.__and__, clauses, F.lit(True))
+
+
+def facts(expression: str | None) -> dict[str, str]:
+    """The values that the clauses `name == 'value'` of such an expression ask for; of two for one name the last."""
+    found = {}
+    for clause in (expression or "").split(" AND "):
+        if "==" in clause and "!=" not in clause:
+            name, value = (part.strip().strip("'\"") for part in clause.split("==", 1))
+            found[name] = value
+    return found

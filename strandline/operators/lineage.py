@@ -8,27 +8,41 @@ from pyspark.sql import functions as F
 from strandline.sources.scratch import scratch_folder
 
 
-def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, growth: int = 4) -> DataFrame:
     """(start, commit_id): of every start (start) itself and all commits that its parents lead to; edges: (commit_id, parent_id).
 
-    A wave holds the commits first reached by so many steps; waves follow until one is empty, so there are as
-    many as the longest way. Each is written once, and what was reached is read from the files: no plan grows
-    with the number of waves. Cycles end as well.
+    Jumps double: after round r a jump is a way of 2^r steps, and what was reached are all commits within 2^r - 1
+    steps, so a history of n commits in a row takes log2(n) rounds. Where many merges make jumps more than
+    `growth` times as many as the steps, they stay as long as they are, and what follows are waves of such jumps: work
+    and files stay bounded by the edges, and a wave passes 2^r generations. Each round is written once, so
+    no plan grows with the rounds. Cycles end as well: nothing new is reached.
     """
     spark = edges.sparkSession
-    folder, wave = scratch_folder(spark), 0
-    steps = edges.select(F.col("commit_id").alias("at"), F.col("parent_id").alias("commit_id")).where("at is not null and commit_id is not null")
-    front = starts.select("start", F.col("start").alias("commit_id")).where("start is not null").distinct()
-    schema = front.schema
+    folder, parts = scratch_folder(spark), []
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    jumps = kept(edges.select(F.col("commit_id").alias("at"), F.col("parent_id").alias("to")).where("at is not null and to is not null").distinct(), "steps")
+    limit = growth * jumps.count()
+    new, doubling = starts.select("start", F.col("start").alias("commit_id")).where("start is not null").distinct(), True
     while True:
-        front.write.parquet(f"{folder}/wave={wave}")
-        front = spark.read.schema(schema).parquet(f"{folder}/wave={wave}")
-        seen = spark.read.schema(schema).parquet(*[f"{folder}/wave={n}" for n in range(wave + 1)])
-        if front.isEmpty():
-            return seen
-        following = front.withColumnRenamed("commit_id", "at").join(steps, "at").select("start", "commit_id").distinct()
-        front = following.join(seen, ["start", "commit_id"], "left_anti")
-        wave += 1
+        new = kept(new, f"reached-{len(parts)}")
+        parts.append(f"{folder}/reached-{len(parts)}")
+        seen = spark.read.schema(new.schema).parquet(*parts)
+        if len(parts) > 1:
+            if new.isEmpty():
+                return seen
+            if doubling:
+                longer = jumps.join(jumps.select(F.col("at").alias("to"), F.col("to").alias("further")), "to").select("at", F.col("further").alias("to")).distinct()
+                longer = kept(longer, f"jumps-{len(parts)}")
+                if doubling := longer.count() <= limit:
+                    jumps = longer
+        # while jumps double, all that was reached jumps; later only what the last wave reached
+        front = (seen if doubling else new).withColumnRenamed("commit_id", "at")
+        landed = front.join(jumps, "at").select("start", F.col("to").alias("commit_id")).distinct()
+        new = landed.join(seen, ["start", "commit_id"], "left_anti")
 
 
 def ahead(edges: DataFrame, since, until) -> DataFrame:

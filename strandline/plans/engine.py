@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.ignore import Rule, ignored, internal, parse_rules
-from strandline.functions.predicates import of_ref, where
+from strandline.functions.predicates import facts, of_ref, where
 from strandline.model import (
     DEFAULT_REF,
     IGNORE_FILE,
@@ -37,7 +37,7 @@ from strandline.operators.verify import file_checks, ignored_stale, stale_delete
 from strandline.plans.refresh import Counts, refresh
 from strandline.sources.snapshot import GitSource
 from strandline.sources.state import read_config, read_json, single_writer, write_config, write_json
-from strandline.sources.table import IndexTable, create_store
+from strandline.sources.table import LOOKED_UP, IndexTable, create_store
 
 # The state that must agree between syncs.
 FINGERPRINT = ("chunk_schema_id", "embedder_id", "config_chunker_id", "config_embedder_id")
@@ -156,7 +156,8 @@ class Index:
         """The answer as a DataFrame, best first."""
         config = self.config()
         ref = ref or (read_json(self.state / "cursor.json") or {}).get("ref") or config.get("ref") or DEFAULT_REF
-        index = self.table(config).read()
+        asked = {f: v for f, v in facts(filter_expr).items() if f in LOOKED_UP}
+        index = self.table(config).read(facts=asked | {"repo_id": str(config["repo_id"]), "ref": str(ref)})
         return results(top_k(index, vector, k, of_ref(str(config["repo_id"]), str(ref)) & where(filter_expr, index.columns)))
 
     def query(self, text: str, k: int = 10, ref: str | None = None, filter_expr: str | None = None) -> list[QueryResult]:
@@ -232,7 +233,7 @@ class Index:
         table = self.table(config)
         basic = {"cursor_valid": True, "cursor_commit_exists": source.exists(commit), "no_pending_txn": txn is None, "schema_match": not self._differs(cursor, fingerprint), "collection_alive": True}
         try:
-            index = table.read().where(of_ref(repo_id, ref)).select("path", "id")
+            index = table.read(facts={"repo_id": repo_id, "ref": ref}).where(of_ref(repo_id, ref)).select("path", "id")
         except Exception:  # a store that cannot be read is a finding
             basic["collection_alive"] = False
             return VerifyResult(False, basic)

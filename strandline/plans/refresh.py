@@ -16,6 +16,9 @@ from strandline.operators.merge import merged, new_rows
 from strandline.sources.table import IndexTable
 
 
+FOLD_AT = 0.3  # share of rows outside the buckets or marked as deleted from which a refresh folds them
+
+
 @dataclass(frozen=True)
 class Counts:
     added: int = 0
@@ -44,37 +47,41 @@ def refresh(
     """Brings the rows of the processed paths (path) to what the files (path, text) ask for; paths without a file lose theirs.
 
     With `full` all rows of the ref go first; with `reembed` those of the processed paths. The chunks and
-    the embeddings of new ones are written once to a staging folder, so that no retry embeds twice.
+    the embeddings of new ones are written once to a staging folder, so that no retry embeds twice. What is
+    read and written otherwise follows the change: files that may hold the paths, marks of their old rows, and the new rows.
     """
     manifest = table.manifest()
     own = of_ref(repo_id, ref)
-    buckets = None if full else table.buckets_of(processed, manifest)
-    here = table.read(buckets, manifest)
-    known = here.where(own) if not (full or reembed) else here.where(F.lit(False))
     staging = f"{table.path}/staging/{token}-{uuid.uuid4().hex[:8]}"
     spark = table.spark
+
+    def staged(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{staging}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{staging}/{name}")
+
     try:
-        expected = expected_rows(files, chunker, normalize, repo_id, ref, commit, token)
-        expected.write.parquet(f"{staging}/expected")
-        expected = spark.read.schema(expected.schema).parquet(f"{staging}/expected")
-        fresh = embed_rows(new_rows(expected, known), embedder, **(embedding or {}))
-        fresh.write.parquet(f"{staging}/new")
-        fresh = spark.read.schema(fresh.schema).parquet(f"{staging}/new")
+        paths = processed.select("path").distinct()
+        if full:
+            old = table.read(manifest=manifest).where(own)
+        else:
+            # rows of the processed paths alone, from files that may hold them
+            near = table.files_of(paths.select(F.col("path").alias("value")), "path", manifest)
+            old = staged(table.read(near, manifest, places=True).where(own).join(paths, "path", "left_semi"), "old")
+        known = old.where(F.lit(False)) if full or reembed else old
+        expected = staged(expected_rows(files, chunker, normalize, repo_id, ref, commit, token), "expected")
+        fresh = staged(embed_rows(new_rows(expected, known), embedder, **(embedding or {})), "new")
         stats = embedding_stats(fresh).first()
+        before = old.count()
         updated = 0 if full or reembed else expected.join(known.select("id"), "id", "left_semi").count()
+        rows = merged(known.drop("_file", "_row"), fresh, expected, paths)
         if full:
-            removed = here.where(own).count()
-            rows = merged(here.where(~F.coalesce(own, F.lit(False))), fresh, expected, processed.where(F.lit(False)))
+            others = table.read(manifest=manifest).where(~F.coalesce(own, F.lit(False)))
+            table.commit(rows.unionByName(others), manifest)
         else:
-            on_paths = here.where(own).join(processed.select("path"), "path", "left_semi")
-            removed = on_paths.count() - updated
-            others = here.where(~F.coalesce(own, F.lit(False)))
-            mine = here.where(own)
-            if reembed:
-                mine = mine.join(processed.select("path"), "path", "left_anti")
-            rows = merged(mine, fresh, expected, processed).unionByName(others)
-        table.commit(rows, buckets, manifest)
+            after = table.change(rows, old.select("_file", "_row") if before else None, manifest)
+            if table.debt(after) > FOLD_AT:
+                table.compact(FOLD_AT)
         calls = int(stats["calls"]) or (int(stats["texts"] > 0))
-        return Counts(int(stats["texts"]), updated, removed, calls, int(stats["texts"]), int(stats["tokens"]))
+        return Counts(int(stats["texts"]), updated, before - updated, calls, int(stats["texts"]), int(stats["tokens"]))
     finally:
         table.remove(staging)

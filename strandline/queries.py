@@ -265,7 +265,7 @@ def q24_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored table: written whole, rows deleted by two predicates, counted by its manifest and by a filtered scan."""
     index = create_store(spark, "parquet", scratch_folder(spark), {"buckets": 8})
     rows = with_keys(whole_file_chunks(files(spark, sf_dir)), REPO, REF, "c1", "t1", "whole-file")
-    index.commit(embed_rows(rows, HashEmbedder()), None, index.manifest())
+    index.commit(embed_rows(rows, HashEmbedder()), index.manifest())
     before = index.count()
     first = rows.where(~F.col("path").contains("/fr/")).agg(F.min("path")).first()[0]
     gone = index.delete_where(F.col("path").contains("/fr/"))

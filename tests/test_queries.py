@@ -1,5 +1,6 @@
 import pytest
 from compare import same
+from pyspark.sql import functions as F
 
 from strandline.queries import ORACLES, QUERIES
 
@@ -54,6 +55,35 @@ def test_reachability_ends_on_cycles_and_long_histories(spark):
     assert {r[0] for r in ahead(edges, 35, 40).collect()} == {36, 37, 38, 39, 40}
 
 
+def test_a_long_history_takes_logarithmic_rounds_and_merges_stay_bounded(spark):
+    import random
+
+    from strandline.operators.lineage import reachable
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("history", "a chain of 10,000 commits")
+    chain = spark.range(1, 10_000).select(F.col("id").alias("commit_id"), (F.col("id") - 1).alias("parent_id"))
+    found = reachable(chain, spark.createDataFrame([(9_999,), (5,)], "start long"))
+    rounds = sum("/reached-" in f for f in {f.rsplit("/", 1)[0] for f in found.inputFiles()})
+    assert found.count() == 10_006 and rounds <= 2 * 14
+    assert len(tracker.getJobIdsForGroup("history")) < 400
+    spark.sparkContext.setJobGroup("", "")
+    rng = random.Random(2)
+    edges = [(i, rng.randrange(max(0, i - 9), i)) for i in range(1, 200) for _ in range(rng.choice([1, 1, 2, 3]))]
+    graph = spark.createDataFrame(edges, "commit_id long, parent_id long")
+    for growth in (0, 1, 1000):  # never longer jumps, some, always
+        got = {(r[0], r[1]) for r in reachable(graph, spark.createDataFrame([(199,), (60,)], "start long"), growth).collect()}
+        wanted = set()
+        for start in (199, 60):
+            todo = [start]
+            while todo:
+                at = todo.pop()
+                if (start, at) not in wanted:
+                    wanted.add((start, at))
+                    todo += [p for c, p in edges if c == at]
+        assert got == wanted
+
+
 def test_filter_reaches_the_scan(spark):
     from strandline.functions.predicates import of_ref
     from strandline.model import INDEX_SCHEMA
