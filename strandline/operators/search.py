@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from strandline.functions.text import cosine
 from strandline.sources.scratch import scratch_folder
@@ -37,26 +38,54 @@ def results(found: DataFrame) -> DataFrame:
     return rows.select(*columns, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _best_of_each(ids: np.ndarray, vectors: np.ndarray, k: int, probed: np.ndarray | None = None):
+class Best:
+    """The k best ids and scores of each query so far: higher scores first, then smaller ids."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores: list[np.ndarray] = [np.zeros(0)] * queries
+        self.ids: list[np.ndarray] = [np.zeros(0, object)] * queries
+
+    def offer(self, asking: np.ndarray, own: np.ndarray, score: np.ndarray) -> None:
+        """Rows with ids `own` and scores (queries asking, rows)."""
+        for q, found in zip(asking.tolist(), score, strict=True):
+            if len(found) > self.k:
+                # all that tie with the k-th stay for the exact order
+                keep = found >= np.partition(found, len(found) - self.k)[len(found) - self.k] - 1e-12
+                s, i = np.r_[self.scores[q], found[keep]], np.r_[self.ids[q], own[keep]]
+            else:
+                s, i = np.r_[self.scores[q], found], np.r_[self.ids[q], own]
+            order = np.lexsort((i, -s))[: self.k]
+            self.scores[q], self.ids[q] = s[order], i[order]
+
+    def batch(self, ids: pa.Array, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """(query_id, id, score) of all that was found."""
+        counts = [len(s) for s in self.scores]
+        if sum(counts):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), counts))), pa.array(np.concatenate(self.ids), kind), pa.array(np.concatenate(self.scores))], names=["query_id", "id", "score"])
+
+
+def objects(column: pa.Array) -> np.ndarray:
+    """Ids as Python's own numbers or strings."""
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
+
+
+def matrix_of(column: pa.Array, size: int) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), size)
+
+
+def _best_of_each(ids: pa.Array, vectors: np.ndarray, k: int, probed: np.ndarray | None = None):
     """The k best rows of each query in a task. With `probed` (queries, cells) a query looks at rows of its own cells only."""
     lengths = np.linalg.norm(vectors, axis=1)
     everyone = np.arange(len(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top_scores: list[np.ndarray] = [np.zeros(0)] * len(ids)
-        top_ids: list[np.ndarray] = [np.zeros(0, np.int64)] * len(ids)
-
-        def offer(asking: np.ndarray, own: np.ndarray, score: np.ndarray) -> None:
-            for q, found in zip(asking.tolist(), score, strict=True):
-                s, i = np.r_[top_scores[q], found], np.r_[top_ids[q], own]
-                if len(s) > k:
-                    # all that tie with the k-th stay for the exact order
-                    keep = s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-12
-                    s, i = s[keep], i[keep]
-                order = np.lexsort((i, -s))[:k]
-                top_scores[q], top_ids[q] = s[order], i[order]
-
+        best, kind = Best(len(ids), k), pa.string()
         for batch in batches:
+            kind = batch.schema.field("id").type
             sizes = np.asarray(batch["embedding"].value_lengths().fill_null(-1))
             cell = np.asarray(batch["cell"]) if probed is not None else np.zeros(batch.num_rows, np.int64)
             for c in np.unique(cell):
@@ -67,48 +96,50 @@ def _best_of_each(ids: np.ndarray, vectors: np.ndarray, k: int, probed: np.ndarr
                 score = np.zeros((len(asking), len(rows)))
                 right = sizes[rows] == vectors.shape[1]
                 if right.any():
-                    matrix = np.asarray(batch["embedding"].take(pa.array(rows[right])).flatten(), dtype=np.float64).reshape(-1, vectors.shape[1])
+                    matrix = matrix_of(batch["embedding"].take(pa.array(rows[right])), vectors.shape[1])
                     size = lengths[asking, None] * np.linalg.norm(matrix, axis=1)[None, :]
                     score[:, right] = np.divide(vectors[asking] @ matrix.T, size, out=np.zeros_like(size), where=size > 0)
-                offer(asking, np.asarray(batch["id"])[rows], score)
-        counts = [len(s) for s in top_scores]
-        if sum(counts):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate(top_ids)), pa.array(np.concatenate(top_scores))], names=["query_id", "id", "score"])
+                best.offer(asking, objects(batch["id"].take(pa.array(rows))), score)
+        yield from best.batch(ids, kind)
 
     return run
 
 
-def _each(rows: DataFrame, queries: DataFrame, k: int, block_bytes: int, probes: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """The queries in blocks of about `block_bytes` of vectors: a block's best rows are written before the next one starts, so neither plan nor memory grows with the queries."""
-    spark = rows.sparkSession
+def query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The queries (query_id, embedding) in blocks of about `block_bytes` of vectors: ids and vectors of one length."""
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
     about = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0)) * 8).first()
     parts = max(1, -(-int(about[1]) // block_bytes))
-    numbered = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    schema, folder, written = "query_id long, id long, score double", scratch_folder(spark), []
     for part in range(parts):
-        mine = numbered.where(F.col("part") == part).select("query_id", "embedding").toPandas()
+        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toPandas()
         for size, same in mine.groupby(mine["embedding"].map(len)):
-            vectors = np.array(same["embedding"].tolist(), dtype=np.float64).reshape(len(same), size)
-            found = rows.mapInArrow(_best_of_each(same["query_id"].to_numpy(np.int64), vectors, k, probes(vectors) if probes else None), schema)
-            if parts == 1 and len(same) == len(mine):
-                return _best_ranked(found, k)
-            found.write.parquet(f"{folder}/part={part}-{size}")
-            written.append(f"{folder}/part={part}-{size}")
-    return _best_ranked(spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema), k)
+            kind = to_arrow_type(queries.schema["query_id"].dataType)
+            yield pa.array(same["query_id"].tolist(), kind), np.array(same["embedding"].tolist(), dtype=np.float64).reshape(len(same), size)
+
+
+def _each(rows: DataFrame, queries: DataFrame, k: int, block_bytes: int, probes: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """A block's best rows are written before the next one starts, so neither plan nor memory grows with the queries."""
+    spark = rows.sparkSession
+    schema = StructType([queries.schema["query_id"], rows.schema["id"], StructField("score", DoubleType())])
+    folder, written = scratch_folder(spark), []
+    for number, (ids, vectors) in enumerate(query_blocks(queries, block_bytes)):
+        rows.mapInArrow(_best_of_each(ids, vectors, k, probes(vectors) if probes else None), schema).write.parquet(f"{folder}/part={number}")
+        written.append(f"{folder}/part={number}")
+    return best_ranked(spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema), k)
 
 
-def _best_ranked(found: DataFrame, k: int) -> DataFrame:
+def best_ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query with their rank, from 1."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def top_k_each(index: DataFrame, queries: DataFrame, k: int, block_bytes: int = QUERY_BYTES) -> DataFrame:
-    """(query_id, id, score, rank) for queries (query_id, embedding) over an index (id, embedding), both ids long.
+    """(query_id, id, score, rank) for queries (query_id, embedding) over an index (id, embedding), ids of any kind.
 
     A block of queries goes to all tasks; a task sends on its k best rows a query, and these alone meet in a shuffle.
     """
-    return _each(index.select(F.col("id").cast("long").alias("id"), "embedding"), queries, k, block_bytes)
+    return _each(index.select("id", "embedding"), queries, k, block_bytes)
 
 
 def cells(index: DataFrame, count: int = 16, seed: int = 7, sample: int = 20_000) -> np.ndarray:
@@ -168,5 +199,4 @@ def approximate_top_k(celled: DataFrame, centres: np.ndarray, vector: Sequence[f
 
 def approximate_top_k_each(celled: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int = 12, block_bytes: int = QUERY_BYTES) -> DataFrame:
     """As `top_k_each` over rows (id, embedding, cell), but each query meets only the rows of the `probes` cells nearest to it; exact once all are probed."""
-    rows = celled.select(F.col("id").cast("long").alias("id"), "embedding", "cell")
-    return _each(rows, queries, k, block_bytes, lambda vectors: nearest_cells(centres, vectors, probes))
+    return _each(celled.select("id", "embedding", "cell"), queries, k, block_bytes, lambda vectors: nearest_cells(centres, vectors, probes))

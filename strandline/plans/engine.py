@@ -33,6 +33,7 @@ from strandline.operators.chunk import Chunker, create_chunker, expected_rows
 from strandline.operators.delta import ignore_file_changed, plan
 from strandline.operators.embed import Embedder, create_embedder, with_retry
 from strandline.operators.search import results, top_k
+from strandline.operators.vector_index import VectorIndex
 from strandline.operators.verify import file_checks, ignored_stale, stale_deleted
 from strandline.plans.refresh import Counts, refresh
 from strandline.sources.snapshot import GitSource
@@ -147,20 +148,34 @@ class Index:
                 embedding = {"batch_size": batch_size or options.get("batch_size", 64), "max_concurrent": max_concurrent or options.get("max_concurrent", 1), "retries": options.get("max_retries", 3) if max_retries is None else max_retries}
                 changed = new.join(todo.where(F.col("status") != "D").select("path"), "path", "left_semi")
                 counts = refresh(table, todo, source.texts(changed), chunker, embedder, repo_id, ref, until, token, config.get("normalize"), embedding, full)
+            if self._approximate(config):
+                VectorIndex(self.spark, f"{table.path}/vectors").follow(table)
             write_json(self.state / "cursor.json", {"last_synced_commit": until, "ref": ref, "repo_id": repo_id, "updated_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), **fingerprint})
             (self.state / "txn.json").unlink(missing_ok=True)
             stats = SyncStats(time.perf_counter() - began, counts.calls, counts.texts, counts.tokens)
             return SyncResult(since, until, planned, paths, counts.added, counts.updated, counts.deleted, recovered=was_txn, stats=stats)
 
-    def query_frame(self, vector: list[float], k: int = 10, ref: str | None = None, filter_expr: str | None = None) -> DataFrame:
-        """The answer as a DataFrame, best first."""
+    def query_frame(self, vector: list[float], k: int = 10, ref: str | None = None, filter_expr: str | None = None, approximate: bool | None = None) -> DataFrame:
+        """The answer as a DataFrame, best first. `approximate`, or the store's option of that name, lets the vector index choose the rows to compare."""
         config = self.config()
         ref = ref or (read_json(self.state / "cursor.json") or {}).get("ref") or config.get("ref") or DEFAULT_REF
+        table, wanted = self.table(config), of_ref(str(config["repo_id"]), str(ref))
+        approximate = self._approximate(config) if approximate is None else approximate
+        codes = VectorIndex(self.spark, f"{table.path}/vectors") if approximate else None
+        if codes is not None and k > 0 and codes.version == table.manifest()["version"]:
+            # codes choose the rows, their exact vectors rank them; codes that are behind the table choose nothing
+            near = codes.rows_near(table, vector, k, wanted & where(filter_expr, table.read([]).columns))
+            if near is not None:
+                return results(top_k(near, vector, k, wanted & where(filter_expr, near.columns)))
         asked = {f: v for f, v in facts(filter_expr).items() if f in LOOKED_UP}
-        index = self.table(config).read(facts=asked | {"repo_id": str(config["repo_id"]), "ref": str(ref)})
-        return results(top_k(index, vector, k, of_ref(str(config["repo_id"]), str(ref)) & where(filter_expr, index.columns)))
+        index = table.read(facts=asked | {"repo_id": str(config["repo_id"]), "ref": str(ref)})
+        return results(top_k(index, vector, k, wanted & where(filter_expr, index.columns)))
 
-    def query(self, text: str, k: int = 10, ref: str | None = None, filter_expr: str | None = None) -> list[QueryResult]:
+    @staticmethod
+    def _approximate(config: dict[str, Any]) -> bool:
+        return bool(((config.get("vectorstore") or {}).get("options") or {}).get("approximate"))
+
+    def query(self, text: str, k: int = 10, ref: str | None = None, filter_expr: str | None = None, approximate: bool | None = None) -> list[QueryResult]:
         """The k chunks nearest to the text; none, with a warning, where nothing is indexed."""
         if not text.strip():
             raise StrandlineError("the query text is empty")
@@ -173,7 +188,7 @@ class Index:
             return []
         embedder = self._embedder or create_embedder(config)
         vector = with_retry(lambda: embedder.embed([text]), int(config["embedder"].get("max_retries", 3)))[0]
-        rows = self.query_frame(vector, k, ref, filter_expr).orderBy(F.desc("score"), "doc_id").collect()
+        rows = self.query_frame(vector, k, ref, filter_expr, approximate).orderBy(F.desc("score"), "doc_id").collect()
         return [QueryResult(**r.asDict()) for r in rows]
 
     def status(self) -> StatusResult:

@@ -231,3 +231,20 @@ def test_reports(index):
     assert "sync-result<<END\ncompleted\nEND\n" in output_lines(outputs)
     failed, code = ci_outputs(None, "boom END", None)
     assert code == 1 and failed["sync-result"] == "error" and "comment-body<<END_\n" in output_lines(failed)
+
+
+def test_queries_by_the_vector_index(spark, repo):
+    index = Index(spark, repo.root)
+    repo.commit(FILES)
+    index.init()
+    config = index.config()
+    config["vectorstore"]["options"] = {"buckets": 4, "approximate": True}
+    from strandline.sources.state import write_config
+
+    write_config(index.state / "config.yaml", config)
+    index.sync()
+    for text in ("call it", "main"):
+        assert [r.doc_id for r in index.query(text, 3)] == [r.doc_id for r in index.query(text, 3, approximate=False)]
+    repo.commit({"new.md": "# New\nentirely new body\n"})
+    index.sync()
+    assert index.query("# New", 1)[0].path == "new.md"
