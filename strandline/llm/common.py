@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,13 +35,26 @@ def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            give_back()
 
     return task
 
 
+def give_back() -> None:
+    """Gives the memory that allocators keep back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def kept_by_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What `make` gives, made once in a worker process for all its tasks: functions travel by value, so what they keep themselves is gone with the task."""
+    kept = sys.modules.setdefault("strandline_worker", types.ModuleType("strandline_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def with_maybe(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """The rows with `maybe`: false only where their `column` is not among `keys` (a column of the same name). Nothing of `rows` shuffles.
 
@@ -155,11 +170,11 @@ def with_text_columns(df: DataFrame, make: Callable[[], Callable[[list[str]], di
     return plain.mapInArrow(run, out).toDF(*[f.name for f in kept], *names)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes rows as Parquet into the shared checkpoint folder and reads them again: what comes after depends on files alone."""
     df.sparkSession.sparkContext.setJobDescription(f"write {name}")
     path = f"{checkpoint_folder(df.sparkSession)}/strandline-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     df.sparkSession.sparkContext.setJobDescription(None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
