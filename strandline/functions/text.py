@@ -78,8 +78,11 @@ def chunk_id(repo_id: Column, ref: Column, path: Column, schema_id: Column, chun
 
 def hash_embedding(text: Column) -> Column:
     """Stand-in vector without a model: the 32 bytes of the SHA-256, each divided by 255."""
-    digest = F.sha2(text, 256)
-    return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / F.lit(255.0))
+    def places(digest: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / F.lit(255.0))
+
+    # through an array of one, so that the digest is computed once and not for each place
+    return F.element_at(F.transform(F.array(F.sha2(text, 256)), places), 1)
 
 
 def estimated_tokens(text: Column) -> Column:

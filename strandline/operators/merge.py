@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.model import TEXT_FIELDS
@@ -22,10 +22,13 @@ def new_rows(expected: DataFrame, index: DataFrame) -> DataFrame:
     return expected.join(index.select("id"), "id", "left_anti")
 
 
-def upsert(index: DataFrame, rows: DataFrame) -> DataFrame:
-    """The index with these rows in the place of those with their ids; of several rows with one id the last in their order."""
+def upsert(index: DataFrame, rows: DataFrame, order: Column | None = None) -> DataFrame:
+    """The index with these rows in the place of those with their ids; of several rows with one id the last by `order`.
+
+    Without `order` it is the order in which the rows are read, which files and lists have but shuffled rows lack.
+    """
     newest = Window.partitionBy("id").orderBy(F.desc("_at"))
-    rows = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_at", "_n")
+    rows = rows.withColumn("_at", F.monotonically_increasing_id() if order is None else order).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_at", "_n")
     return index.join(rows.select("id"), "id", "left_anti").unionByName(rows)
 
 

@@ -30,7 +30,7 @@ from strandline.model import (
     default_config,
 )
 from strandline.operators.chunk import Chunker, create_chunker, expected_rows
-from strandline.operators.delta import ignore_file_changed, plan
+from strandline.operators.delta import planned
 from strandline.operators.embed import Embedder, create_embedder, with_retry
 from strandline.operators.search import results, top_k
 from strandline.operators.vector_index import VectorIndex
@@ -130,20 +130,21 @@ class Index:
                 since = None
             if since == until and not txn and not full:
                 return SyncResult(since, until, 0, already_up_to_date=True, stats=SyncStats(time.perf_counter() - began))
-            new = source.tree(self.spark, until)
-            old = None if full or since is None else source.tree(self.spark, since)
-            rules = self._rules(until)
-            before = self._rules(since) if old is not None and ignore_file_changed(old, new) else None
+            known = None if full else since
+            changes = source.changes(self.spark, known, until)[0]
+            rules, before, new = self._rules(until), None, changes
+            if known is not None and not changes.where(F.col("path") == IGNORE_FILE).isEmpty():
+                before, new = self._rules(known), source.tree(self.spark, until)
             # the plan lies beside the table, whatever its length; the caller gets its size and its first paths
-            todo = staged_at(plan(old, new, rules, before), f"{table.path}/plans/{token}-{uuid.uuid4().hex[:8]}")
-            planned, paths = todo.count(), first_paths(todo)
+            todo = staged_at(planned(changes, new, rules, before), f"{table.path}/plans/{token}-{uuid.uuid4().hex[:8]}")
+            number, paths = todo.count(), first_paths(todo)
             if dry_run:
-                return SyncResult(since, until, 0, dry_run=True, planned_files=paths, files_planned=planned, recovered=bool(txn), stats=SyncStats(time.perf_counter() - began))
+                return SyncResult(since, until, 0, dry_run=True, planned_files=paths, files_planned=number, recovered=bool(txn), stats=SyncStats(time.perf_counter() - began))
             txn = {"from_commit": since, "to_commit": until, "sync_token": token, "repo_id": repo_id, "ref": ref, "started_at": (txn or {}).get("started_at") or time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
             was_txn = read_json(self.state / "txn.json") is not None
             write_json(self.state / "txn.json", txn)
             counts = Counts()
-            if planned:
+            if number:
                 options = config["embedder"]
                 embedding = {"batch_size": batch_size or options.get("batch_size", 64), "max_concurrent": max_concurrent or options.get("max_concurrent", 1), "retries": options.get("max_retries", 3) if max_retries is None else max_retries}
                 changed = new.join(todo.where(F.col("status") != "D").select("path"), "path", "left_semi")
@@ -153,7 +154,7 @@ class Index:
             write_json(self.state / "cursor.json", {"last_synced_commit": until, "ref": ref, "repo_id": repo_id, "updated_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), **fingerprint})
             (self.state / "txn.json").unlink(missing_ok=True)
             stats = SyncStats(time.perf_counter() - began, counts.calls, counts.texts, counts.tokens)
-            return SyncResult(since, until, planned, paths, counts.added, counts.updated, counts.deleted, recovered=was_txn, stats=stats)
+            return SyncResult(since, until, number, paths, counts.added, counts.updated, counts.deleted, recovered=was_txn, stats=stats)
 
     def query_frame(self, vector: list[float], k: int = 10, ref: str | None = None, filter_expr: str | None = None, approximate: bool | None = None) -> DataFrame:
         """The answer as a DataFrame, best first. `approximate`, or the store's option of that name, lets the vector index choose the rows to compare."""

@@ -12,7 +12,7 @@ from strandline.functions.ignore import ignored, parse_rules
 from strandline.functions.predicates import of_ref, stale_of_path, where
 from strandline.functions.text import content_hash, estimated_tokens, hash_embedding, model_name, none_if_blank, normalize, normalize_newlines, py_strip, short_id, state_label
 from strandline.operators.chunk import HeadingChunker, WholeFileChunker, WindowChunker, chunk_files, expected_rows, heading_paths, whole_file_chunks, with_keys
-from strandline.operators.delta import change_set, plan, wanted
+from strandline.operators.delta import change_set, plan, tree_changes, wanted, with_directories
 from strandline.operators.embed import HashEmbedder, embed_rows
 from strandline.operators.lineage import ahead
 from strandline.operators.merge import classified, merged, new_rows, update, upsert
@@ -61,6 +61,12 @@ def q02_change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change_set(files(spark, sf_dir, "old"), files(spark, sf_dir, "new"))
 
 
+def q30_tree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change set of q02 by hashes of directories, of which only those that differ are opened."""
+    old, new = (staged(with_directories(files(spark, sf_dir, n)), n) for n in ("old", "new"))
+    return tree_changes(old, new)[0]
+
+
 def q03_ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(".git/config", "A"), (".strandlineignore", "M"), ("./.strandline/x", "D"), ("src1.md", "A")], "path string, status string")
     changes = change_set(files(spark, sf_dir, "old"), files(spark, sf_dir, "new")).unionByName(own)
@@ -428,6 +434,7 @@ EDGES = """
 ORACLES: dict[str, str] = {
     "q01_snapshot_listing": f"WITH {FILES} SELECT DISTINCT path FROM docs",
     "q02_change_set": f"WITH {FILES} SELECT path, status FROM changes",
+    "q30_tree_changes": f"WITH {FILES} SELECT path, status FROM changes",
     "q03_ignore_filter": f"WITH {FILES} SELECT path, status FROM changes WHERE status = 'D' OR NOT {NEW_SQL}",
     "q04_plan": f"""WITH {FILES}, todo AS (SELECT path, status FROM changes WHERE status = 'D' OR NOT {NEW_SQL})
         SELECT * FROM todo UNION ALL SELECT path, 'A' FROM new WHERE {OLD_SQL} AND NOT {NEW_SQL} AND path NOT IN (SELECT path FROM todo)""",

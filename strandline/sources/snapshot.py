@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.model import GitError
+from strandline.sources.scratch import scratch_folder
 
 
 def listing(files: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def listing(files: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class GitSource:
-    """A git repository. Paths and blob ids come from the driver; file contents are read by the tasks."""
+    """A git repository. Directories are listed and compared, and files read, by the tasks."""
 
     root: Path
 
@@ -61,9 +62,37 @@ class GitSource:
 
     def tree(self, spark: SparkSession, commit: str) -> DataFrame:
         """(path, content_hash) of the files of a commit; submodules hold no text and are left out."""
-        entries = self._git("ls-tree", "-r", "-z", "--full-tree", commit).decode("utf-8", "surrogateescape").split("\0")
-        rows = [(path.encode("utf-8", "replace").decode("utf-8"), about.split()[2]) for about, _, path in (e.partition("\t") for e in entries if e) if about.split()[1] == "blob"]
-        return spark.createDataFrame(pa.table({"path": pa.array([r[0] for r in rows], pa.string()), "content_hash": pa.array([r[1] for r in rows], pa.string())}).to_pandas().astype(object) if rows else [], "path string, content_hash string")
+        return self.changes(spark, None, commit)[0].select("path", "content_hash")
+
+    def changes(self, spark: SparkSession, since: str | None, until: str) -> tuple[DataFrame, DataFrame]:
+        """(path, status, content_hash) of the files that two commits do not share, all of the second without a first; and (path) of the directories compared.
+
+        Directories are compared level by level in the tasks: two with one id hold the same and are not opened, so k
+        changed files open k times their depth at most. The driver sees the ids of the roots alone. The
+        repository must lie where the executors can read it.
+        """
+        root, folder, level = str(self.root), scratch_folder(spark), 0
+        ids = [self._git("rev-parse", f"{c}^{{tree}}").decode().strip() if c else "" for c in (since, until)]
+        front = spark.createDataFrame([("", *ids)], "path string, old string, new string").where("old <> new")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as git:
+                for batch in batches:
+                    rows = [r for d in batch.to_pylist() for r in _compared(d["path"], _entries(git, d["old"]), _entries(git, d["new"]))]
+                    columns = list(zip(*rows, strict=True)) or [()] * 4
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["kind", "path", "old", "new"])
+                git.stdin.close()
+
+        schema = "kind string, path string, old string, new string"
+        while True:
+            front.repartition("path").mapInArrow(run, schema).write.parquet(f"{folder}/{level}")
+            found = spark.read.schema(schema).parquet(f"{folder}/{level}")
+            front, level = found.where("kind = 'tree'").select("path", "old", "new"), level + 1
+            if front.isEmpty():
+                break
+        every = spark.read.schema(schema).parquet(*[f"{folder}/{n}" for n in range(level)])
+        status = F.when(F.col("old") == "", "A").when(F.col("new") == "", "D").otherwise("M")
+        return every.where("kind = 'blob'").select("path", status.alias("status"), F.col("new").alias("content_hash")), every.where("kind = 'tree'").select("path")
 
     def texts(self, files: DataFrame) -> DataFrame:
         """(path, text) for rows (path, content_hash): each task reads its blobs through one git process.
@@ -93,3 +122,33 @@ class GitSource:
         """The text of one file of a commit; None if it has none."""
         done = subprocess.run(["git", "-C", str(self.root), "show", f"{commit}:{path}"], capture_output=True, check=False)
         return None if done.returncode else done.stdout.decode("utf-8", "replace")
+
+
+def _entries(git: subprocess.Popen, tree: str) -> dict[bytes, tuple[str, str]]:
+    """Kind and id of what stands in a tree, by name; nothing in none."""
+    if not tree:
+        return {}
+    git.stdin.write(f"{tree}\n".encode())
+    git.stdin.flush()
+    head = git.stdout.readline().split()
+    if len(head) < 3:
+        raise GitError(f"tree {tree} is missing")
+    data, size, at, out = git.stdout.read(int(head[2])), len(tree) // 2, 0, {}
+    git.stdout.read(1)
+    while at < len(data):
+        blank, end = data.index(b" ", at), data.index(b"\0", at)
+        mode, name, at = data[at:blank], data[blank + 1 : end], end + 1 + size
+        kind = "tree" if mode in (b"40000", b"040000") else "commit" if mode == b"160000" else "blob"
+        out[name] = kind, data[end + 1 : at].hex()
+    return out
+
+
+def _compared(path: str, old: dict[bytes, tuple[str, str]], new: dict[bytes, tuple[str, str]]) -> Iterator[tuple[str, str, str, str]]:
+    """(kind, path, old id, new id) of the files and directories in which two directories differ; an id is empty on the side that lacks it."""
+    for name in old.keys() | new.keys():
+        before, after = old.get(name, ("", "")), new.get(name, ("", ""))
+        shown = name.decode("utf-8", "surrogateescape").encode("utf-8", "replace").decode("utf-8")
+        for kind in ("blob", "tree"):
+            ids = [x[1] if x[0] == kind else "" for x in (before, after)]
+            if ids[0] != ids[1]:
+                yield kind, f"{path}/{shown}" if path else shown, *ids

@@ -248,3 +248,40 @@ def test_queries_by_the_vector_index(spark, repo):
     repo.commit({"new.md": "# New\nentirely new body\n"})
     index.sync()
     assert index.query("# New", 1)[0].path == "new.md"
+
+
+def test_a_commit_diff_opens_only_directories_that_changed(spark, repo):
+    from strandline.sources.snapshot import GitSource
+
+    files = {f"d{a}/e{b}/f{c}.md": f"{a} {b} {c}" for a in range(6) for b in range(4) for c in range(3)} | {"x": "file", "odd näme/ü": "u"}
+    first = repo.commit(files)
+    source = GitSource.discover(repo.root)
+    assert {(r["path"], r["status"]) for r in source.changes(spark, None, first)[0].collect()} == {(p, "A") for p in files}
+    assert {r["path"] for r in source.tree(spark, first).collect()} == set(files)
+    (repo.root / "x").unlink()
+    second = repo.commit({"d1/e2/f0.md": "new", "d1/e2/f9.md": "more", "d3/e0/f1.md": None, "x/y/z": "a directory now"})
+    changes, compared = source.changes(spark, first, second)
+    assert {(r["path"], r["status"]) for r in changes.collect()} == {("d1/e2/f0.md", "M"), ("d1/e2/f9.md", "A"), ("d3/e0/f1.md", "D"), ("x", "D"), ("x/y/z", "A")}
+    assert {r["path"] for r in compared.collect()} == {"d1", "d1/e2", "d3", "d3/e0", "x", "x/y"}
+    assert source.changes(spark, second, second)[0].count() == 0
+
+
+def test_directory_hashes_find_what_the_full_join_finds(spark):
+    from strandline.operators.delta import change_set, tree_changes, with_directories
+
+    rng = __import__("random").Random(3)
+    old = {f"a{rng.randrange(4)}/b{rng.randrange(4)}/c{rng.randrange(30)}": str(rng.randrange(5)) for _ in range(200)} | {"top": "1", "dir": "1"}
+    new = dict(old)
+    for p in rng.sample(sorted(old), 5):
+        new[p] = "changed"
+    for p in rng.sample(sorted(old), 4):
+        new.pop(p)
+    new.pop("dir", None)
+    new |= {"dir/file": "1", "a0/new/deep/er": "1"}
+    frames = [spark.createDataFrame(sorted(x.items()), "path string, content_hash string") for x in (old, new)]
+    found, compared = tree_changes(*map(with_directories, frames))
+    wanted = {tuple(r) for r in change_set(*frames).collect()}
+    assert {tuple(r) for r in found.collect()} == wanted
+    above = {"/".join(p.split("/")[:n]) for p, _ in wanted for n in range(1, p.count("/") + 1)}
+    assert {r["path"] for r in compared.collect()} == above
+

@@ -150,3 +150,13 @@ def test_last_of_repeated_ids_wins_and_an_own_hash_embedder_is_called(spark):
     Own.__name__ = "HashEmbedder"
     found = embed_rows(spark.createDataFrame([("x",)], "text string"), Own()).first()
     assert list(found["embedding"]) == [7.0] and found["calls"] == 1
+
+
+def test_upsert_takes_the_last_by_its_order(spark):
+    from strandline.operators.merge import upsert
+
+    index = spark.createDataFrame([("a", 1, 0), ("b", 1, 0)], "id string, v int, seq int")
+    rows = spark.createDataFrame([("a", 2, 9), ("a", 3, 4), ("c", 5, 1)], "id string, v int, seq int").repartition(3)
+    found = upsert(index, rows, F.col("seq")).select("id", "v").collect()
+    assert sorted(tuple(r) for r in found) == [("a", 2), ("b", 1), ("c", 5)]
+
