@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import give_back, releasing, small_batches, written
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 12_000_000
 PART_PAIRS = 2_000_000
 PACKED_ROWS = 200_000
 # White space before which texts are cut, where the vocabularies allow it.
@@ -213,10 +214,10 @@ def _in_runs(docs: pa.Table, firsts: set[int]) -> Iterator[tuple[int, list[int]]
 
 def _places(texts: pa.ChunkedArray, rows: list[int], cut: str) -> Iterator[tuple[int, list[int]]]:
     """For each text of a run the places of its segments, numbered as `_counted` does."""
-    place: dict[str, int] = {}
+    place: dict[str, int] = defaultdict(itertools.count().__next__)
     for row in rows:
         text = texts[row].as_py()
-        yield row, [place.setdefault(s, len(place)) for s in segments_of(text, cut)] if text else []
+        yield row, list(map(place.__getitem__, segments_of(text, cut))) if text else []
 
 
 def _holding(cut: str):
@@ -268,11 +269,9 @@ def _rated(known: Broadcast, ids: str):
             asked, sizes = _links_of(batch, ids)
             at = np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)
             hit = pairs[at] == asked
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            sums = [np.zeros(batch.num_rows, np.int64) for _ in range(2)]
-            np.add.at(sums[0], row, np.where(hit & best[at], 1, 0))
-            np.add.at(sums[1], row, np.where(hit, counts[at], 0))
-            added = [pa.array(np.asarray(batch[c]) + s) for c, s in zip(("n_best", "count_sum"), sums, strict=True)]
+            ends = np.cumsum(sizes)
+            sums = [np.r_[0, np.cumsum(v)] for v in ((hit & best[at]).astype(np.int64), np.where(hit, counts[at], 0))]
+            added = [pa.array(np.asarray(batch[c]) + s[ends] - s[ends - sizes]) for c, s in zip(("n_best", "count_sum"), sums, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *added], names=batch.schema.names)
 
     return run
@@ -403,7 +402,7 @@ def align_documents(documents: DataFrame, paths: tuple[str, str] | None = None,
 
     Texts are cut before runs of white space, where A's own rule ends tokens and no piece of B goes on with white
     space behind other signs (checked against the vocabulary; white space that fails the check is not cut before).
-    A block of some 8 million characters sends on each of its distinct segments once; the blocks' equal segments
+    A block of some 12 million characters sends on each of its distinct segments once; the blocks' equal segments
     meet in one task and are tokenised once; a block's segments join its texts again.
 
     A text that is null or empty, or that the tokens of A or B do not give back byte for byte (B writes

@@ -16,6 +16,7 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+MEDIA = frozenset("iframe svg object canvas audio video".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp noscript template svg object canvas audio video".split())
 NOISE_TAGS = frozenset("nav footer aside form button select dialog menu fieldset head".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -46,7 +47,11 @@ NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HINTED = 0.3  # what remains of the density of an element that its tag or name makes suspect
 SHARE = 0.2  # of the main subtree's sum, from which a subtree beside it belongs to the text
 MOST_HINTED = 0.5  # of the main subtree's sum, up to which a suspect element inside goes
-NO_HINT, BY_NAME, BY_TAG, HIDDEN = range(4)
+NO_HINT, DOUBTFUL, BY_NAME, BY_TAG, HIDDEN = range(5)
+LINKED = 0.25  # share of links from which an element of a doubtful name is what the name says
+SHORT = 80  # or characters up to which it is
+# Names that parts of articles bear as well.
+DOUBTFUL_NAMES = frozenset("related discussion share sharing promotion replies notice notices".split())
 
 
 def _is_noise_name(name: str) -> bool:
@@ -67,7 +72,8 @@ def _hint(tag: str, attributes: str, in_article: bool) -> int:
         if tag in KEPT_TAGS or in_article and value.lower() in ("header", "banner"):
             continue
         if key == "role" and value.strip().lower() in NOISE_ROLES or key in ("class", "id") and any(map(_is_noise_name, value.split())):
-            found = max(found, BY_NAME)
+            doubtful = in_article and key != "role" and all(x.lower() in DOUBTFUL_NAMES for x in value.split() if _is_noise_name(x))
+            found = max(found, DOUBTFUL if doubtful else BY_NAME)
     return found
 
 
@@ -110,6 +116,7 @@ class _Page:
                     return False
             return False
 
+        unclosed: set[str] = set()
         while m := MARKUP.search(source, at):
             text(source[at : m.start()])
             at = m.end()
@@ -125,8 +132,11 @@ class _Page:
                 continue
             if tag in RAW:
                 if not attributes.rstrip().endswith("/") or tag in ("script", "style"):
-                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
-                    at = end.end() if end else len(source)
+                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at) if tag not in unclosed else None
+                    if end is None and tag in MEDIA:  # never closed: what follows is the page
+                        unclosed.add(tag)
+                    else:
+                        at = end.end() if end else len(source)
                 continue
             if tag in VOID:
                 self.tags[stack[-1]] += 1
@@ -150,11 +160,13 @@ class _Page:
             stack.append(len(self.tag) - 1)
             open_[tag] = open_.get(tag, 0) + 1
         text(source[at:])
-        # what stands in an element counts for all around it
+        # what stands in an element counts for all around it; doubtful names hold where density agrees
         for i in range(len(self.tag) - 1, 0, -1):
             if self.hint[i] != HIDDEN:
                 for column in (self.chars, self.tags, self.link_chars, self.link_tags):
                     column[self.parent[i]] += column[i]
+            if self.hint[i] == DOUBTFUL:
+                self.hint[i] = BY_NAME if self.chars[i] < SHORT or self.link_chars[i] > LINKED * self.chars[i] else NO_HINT
 
     def densities(self) -> list[float]:
         """Composite text density of every element: characters a tag, lowered by the share of links in it and in the page.
@@ -240,7 +252,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     around it), and so is what stands beside its way to the body, is as dense as the sparsest step of that way
     and has a fifth of its sum. Tags, roles and whole names of menus, headers, footers, sidebars, notices,
     adverts, forms and comments are hints: they lower densities, and inside the main text what they name
-    goes, unless the main text lies in it or, for names, it holds half of the sum. Hidden elements go. Null, empty and text-free pages give the empty text. Pages are independent rows: repeated ones
+    goes, unless the main text lies in it or, for names, it holds half of the sum. Names that parts of articles bear
+    as well, as "related" or "discussion", count there only for elements that are short or full of links. Hidden elements go. Null, empty and text-free pages give the empty text. Pages are independent rows: repeated ones
     give repeated rows, an empty table none; extra columns are not read.
     """
     return with_text_columns(pages.select("page_id", "url", "html"), _extract, "text string, n_chars long")

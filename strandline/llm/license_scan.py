@@ -172,10 +172,10 @@ def verified(words: list[str], spans: list[tuple[int, int, int]], known: list[tu
         start = max(0, first - edits)
         for a, b, changed in approximate_places(wanted, words[start : last + 1 + edits], edits):
             out.add((label, start + a, start + b - 1, 1 - changed / len(wanted), False))
-    # of notices that overlap, as versions of one licence do, the most similar and then the longest stays
+    # of notices that overlap, as versions of one licence do, that of which most words stand there stays
     taken = bytearray(len(words))
     stay = [f for f in out if f[4]]
-    for found in sorted((f for f in out if not f[4]), key=lambda f: (-f[3], f[1] - f[2], f)):
+    for found in sorted((f for f in out if not f[4]), key=lambda f: (-f[3] * (f[2] + 1 - f[1]), f)):
         place = slice(found[1], found[2] + 1)
         if not any(taken[place]):
             taken[place] = b"\x01" * (found[2] + 1 - found[1])
@@ -188,7 +188,7 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
 
     `found` lists label, first and last word (counted from 0), similarity and whether the place is one of the
     fixed phrases, which must stand there word by word. Notices count from a similarity of 0.8 in words:
-    lost, added and changed words are edits. Of notices that overlap the most similar stays.
+    lost, added and changed words are edits. Of notices that overlap the one of which most words stand there stays.
 
     A null text counts as empty and has no words. Repeated rows give a row each, null ids too; words repeated many
     times are as many places; texts shorter than a k-gram have none. An empty table gives no rows; other columns are not

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import functools
 import os
 import zlib
 from array import array
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut_lineage, ranked, releasing, small_batches
+from strandline.llm.common import cut_lineage, kept_by_worker, ranked, releasing, small_batches
 
 CAPACITY = 4096
 END_ID = 1
@@ -36,9 +35,8 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@functools.lru_cache(maxsize=1)
 def _vocabulary(path: str):
-    """The tokenizer's batch encoder, which ids end a unit, and the ids of words kept so far; a worker process has them once for all its tasks."""
+    """The tokenizer's batch encoder, which ids end a unit, and the ids of words kept so far."""
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
@@ -63,7 +61,8 @@ def _pieces(path: str | None, capacity: int, cache_size: int):
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, ends, ids = _vocabulary(path or tokenizer_path())
+        vocabulary = path or tokenizer_path()
+        encode, ends, ids = kept_by_worker(("packing", vocabulary), lambda: _vocabulary(vocabulary))
         end = np.uint32(END_ID).tobytes()
 
         def each(words: list[str]) -> Iterator[tuple[str, bytes]]:

@@ -39,7 +39,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NUMBER = re.compile(r"\+?(?<![0-9])\(?(?<![0-9])[0-9](?:[ ().-]{0,2}[0-9])++")
 PIECE = re.compile(r"[^ ]+")
 WORD_BEFORE = re.compile(r"([^\W\d_]+)[^\w]*\Z")
-ADDRESS = re.compile(r"[^\s@<>()\[\]\",;:]+@[^\s@<>()\[\]\",;:]+")
+ADDRESS_STOP = re.compile(r"[\s@<>()\[\]\",;:]")
 NOT_DIGITS = re.compile(r"[^0-9]+")
 DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
@@ -133,6 +133,21 @@ def _numbers(text: str, known: set[str]) -> Iterator[tuple[int, int]]:
             yield from ((m.start() + p.start(), m.start() + p.end()) for p in PIECE.finditer(m[0]))
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """What stands around an @ without blanks, brackets or commas, leftmost first and apart: each sign is looked at once."""
+    seen, at = 0, text.find("@")
+    while at >= 0:
+        start = max((m.end() for m in ADDRESS_STOP.finditer(text, seen, at)), default=seen)
+        stop = ADDRESS_STOP.search(text, at + 1)
+        end = stop.start() if stop else len(text)
+        if start < at and end > at + 1:
+            yield start, end
+            seen = end
+        else:
+            seen = at + 1
+        at = text.find("@", seen)
+
+
 def tokens(text: str, base: list[Span]) -> list[Token]:
     """The known spans, and of what lies outside them whatever looks like an address or a long number."""
     out = [Token(s, e, _key(text[s:e]), _shape(text[s:e]), kind, _context(text, s)) for kind, s, e in base]
@@ -151,8 +166,8 @@ def tokens(text: str, base: list[Span]) -> list[Token]:
         if SHORTEST <= len(NOT_DIGITS.sub("", text[s:e])) <= LONGEST:
             offer(s, e)
     if "@" in text:
-        for m in ADDRESS.finditer(text):
-            offer(*m.span())
+        for s, e in _addresses(text):
+            offer(s, e)
     out.sort(key=lambda t: (t.start, t.end))
     return out
 
