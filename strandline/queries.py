@@ -14,6 +14,7 @@ from strandline.functions.text import content_hash, estimated_tokens, hash_embed
 from strandline.operators.chunk import HeadingChunker, WholeFileChunker, WindowChunker, chunk_files, expected_rows, heading_paths, whole_file_chunks, with_keys
 from strandline.operators.delta import change_set, plan, tree_changes, wanted, with_directories
 from strandline.operators.embed import HashEmbedder, embed_rows
+from strandline.operators.graph import build_graph, graph_top_k_each
 from strandline.operators.lineage import ahead
 from strandline.operators.merge import classified, merged, new_rows, update, upsert
 from strandline.operators.search import approximate_top_k_each, inverted_file, top_k, top_k_each
@@ -238,6 +239,16 @@ def q29_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def q31_proximity_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries of q20 by walks over a graph of neighbours: recall of 0.9 or more against q20."""
+    index = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    folder = scratch_folder(spark)
+    build_graph(index, folder)
+    queries = index.where(F.col("id") % 20 == 0).withColumnRenamed("id", "query_id")
+    found = graph_top_k_each(spark, folder, queries, 10)
+    return found.select("query_id", "id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def q21_stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of changes to users, applied batch by batch: the state is the last event of each user."""
     folder = scratch_folder(spark)

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandline.model import INDEX_SCHEMA
+from strandline.operators.graph import build_graph, graph_top_k_each
 from strandline.operators.search import top_k, top_k_each
 from strandline.operators.vector_index import Model, VectorIndex, unit
 from strandline.queries import QUERIES
@@ -88,3 +89,30 @@ def test_codes_follow_a_table(spark, tmp_path):
     table.commit(spark.createDataFrame(vectors(range(1000, 1100)), INDEX_SCHEMA), table.manifest())
     codes.follow(table)
     assert codes.codes().count() == 100 and len(codes._folders()) == 2
+
+
+def test_walks_over_the_graph_find_what_exact_search_finds(spark):
+    found = {(r["query_id"], r["id"]) for r in QUERIES["q31_proximity_graph"](spark, SF).collect()}
+    exact = {(r["query_id"], r["id"]) for r in QUERIES["q20_top_k_each"](spark, SF).collect()}
+    assert len(found & exact) >= 0.9 * len(exact) and len(found) == len(exact)
+
+
+def test_a_graph_in_parts_with_odd_rows(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(f"r{n}", [rng.gauss(0, 1) for _ in range(8)]) for n in range(300)] + [("none", None), ("empty", []), ("zero", [0.0] * 8), ("short", [1.0])] + [(f"same{n}", [1.0] * 8) for n in range(40)]
+    index = spark.createDataFrame(rows, "id string, embedding array<float>")
+    path = (tmp_path / "graph").as_uri()
+    build_graph(index, path, part_rows=120)
+    graph = spark.read.parquet(path)
+    assert graph.count() == 340 and graph.select("part").distinct().count() == 3
+    part = {r["node"]: r["part"] for r in graph.collect()}
+    assert all(part[v] == r["part"] and v != r["node"] for r in graph.collect() for v in r["near"] or [])
+    queries = index.where("id in ('r1', 'r2', 'r3', 'same1', 'short')").withColumnRenamed("id", "query_id")
+    exact = {(r["query_id"], r["id"]) for r in top_k_each(index.where("id like 'r%' or id like 'same%'"), queries.where("query_id <> 'short'"), 5).collect()}
+    found = {(r["query_id"], r["id"]) for r in graph_top_k_each(spark, path, queries, 5, beam=200).collect()}
+    assert {q for q, _ in found} == {"r1", "r2", "r3", "same1"}
+    random_ones = {x for x in exact if x[0] != "same1"}
+    assert len(found & random_ones) >= 0.9 * len(random_ones) and all(i.startswith("same") for q, i in found if q == "same1")
+    build_graph(index.limit(0), path + "-none")
+    assert graph_top_k_each(spark, path + "-none", queries, 5).count() == 0
+
