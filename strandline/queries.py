@@ -16,6 +16,7 @@ from strandline.operators.delta import change_set, plan, tree_changes, wanted, w
 from strandline.operators.embed import HashEmbedder, embed_rows
 from strandline.operators.graph import build_graph, graph_top_k_each
 from strandline.operators.lineage import ahead
+from strandline.operators.long_files import chunk_lines
 from strandline.operators.merge import classified, merged, new_rows, update, upsert
 from strandline.operators.search import approximate_top_k_each, inverted_file, top_k, top_k_each
 from strandline.operators.vector_index import VectorIndex
@@ -113,6 +114,14 @@ def q08_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("path", F.col("pos").cast("long").alias("pos"), "chunk_type", content_hash(F.col("text")).alias("content_hash"))
 
 
+def q32_long_file_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of a source, one after another, as one file, cut by many tasks."""
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null and source is not null")
+    lines = docs.select(F.col("source").alias("path"), F.floor(F.col("doc_id") / 1000).alias("part"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
+    chunks = chunk_lines(lines.select("path", "part", F.struct("doc_id", "i").alias("place"), "text"), WindowChunker(1000, 100), block=1 << 20)
+    return chunks.select("path", F.col("pos").cast("long").alias("pos"), "chunk_type", content_hash(F.col("text")).alias("content_hash"), F.col("dup_index").cast("long").alias("dup_index"))
+
+
 def q09_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole_file_chunks(files(spark, sf_dir)).select("path", "chunk_type", content_hash(F.col("text")).alias("content_hash"))
 
@@ -468,6 +477,9 @@ ORACLES: dict[str, str] = {
     "q08_sliding_windows": f"""WITH RECURSIVE {FILES}, {WINDOWS}
         SELECT path, pos, CASE pos WHEN 0 THEN 'parent' ELSE 'child' END AS chunk_type, sha256(text) AS content_hash FROM numbered
         UNION ALL SELECT path, 0, 'parent', sha256(text) FROM stripped WHERE text <> '' AND length(text) <= 1000""",
+    "q32_long_file_windows": f"""WITH RECURSIVE docs AS (SELECT source AS path, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND source IS NOT NULL GROUP BY source), {WINDOWS},
+        every AS (SELECT path, pos, text FROM numbered UNION ALL SELECT path, 0, text FROM stripped WHERE text <> '' AND length(text) <= 1000)
+        SELECT path, pos, CASE pos WHEN 0 THEN 'parent' ELSE 'child' END AS chunk_type, sha256(text) AS content_hash, row_number() OVER (PARTITION BY path, text ORDER BY pos) - 1 AS dup_index FROM every""",
     "q09_content_hash": f"WITH {FILES} SELECT path, 'parent' AS chunk_type, sha256({_strip_sql('text')}) AS content_hash FROM docs WHERE {_strip_sql('text')} <> ''",
     "q10_chunk_ids": f"""WITH {FILES}, bodies AS (SELECT path, {_strip_sql("text")} AS text FROM docs),
         chunks AS (
