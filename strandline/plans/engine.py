@@ -32,6 +32,7 @@ from strandline.model import (
 from strandline.operators.chunk import Chunker, create_chunker, expected_rows
 from strandline.operators.delta import planned
 from strandline.operators.embed import Embedder, create_embedder, with_retry
+from strandline.operators.reconcile import differences
 from strandline.operators.search import results, top_k
 from strandline.operators.vector_index import VectorIndex
 from strandline.operators.verify import file_checks, ignored_stale, stale_deleted
@@ -259,12 +260,16 @@ class Index:
         tracked = tracked.where(~internal(F.col("path")) & ~left_out)
         checked = tracked if all_ else tracked.orderBy("path").limit(max(10 if sample is None else sample, 0))
         expected = expected_rows(source.texts(checked), chunker, config.get("normalize"), repo_id, ref, commit, "verify").select("path", "id")
-        found = file_checks(index, expected, checked)
-        if all_:
-            gone = stale_deleted(index, tracked, left_out).select("path", F.lit(0).cast("long").alias("missing_count"), "stale_count", F.lit("FAIL").alias("status"), F.array(F.lit("STALE_DELETED")).alias("issues"))
-            found = found.unionByName(gone, allowMissingColumns=True)
         # the findings lie beside the table, one row a file; the caller gets those of the first files, failures before others
         folder = f"{table.path}/checks/{uuid.uuid4().hex}"
+        if all_:
+            # files are cut into chunks once; then sketches of both sides tell which rows differ
+            differ = staged_at(differences(index, staged_at(expected, f"{folder}/expected")), f"{folder}/differences")
+            found = file_checks(differ.where("have"), differ.where("want"), checked)
+            gone = stale_deleted(differ.where("have"), tracked, left_out).select("path", F.lit(0).cast("long").alias("missing_count"), "stale_count", F.lit("FAIL").alias("status"), F.array(F.lit("STALE_DELETED")).alias("issues"))
+            found = found.unionByName(gone, allowMissingColumns=True)
+        else:
+            found = file_checks(index, expected, checked)
         found, out = staged_at(found, f"{folder}/files"), staged_at(ignored_stale(index, left_out), f"{folder}/ignored")
         bad = found.where("status = 'FAIL'").select("path")
         n_bad, n_out = bad.count(), out.count()

@@ -18,6 +18,7 @@ from strandline.operators.graph import build_graph, graph_top_k_each
 from strandline.operators.lineage import ahead
 from strandline.operators.long_files import chunk_lines
 from strandline.operators.merge import classified, merged, new_rows, update, upsert
+from strandline.operators.reconcile import differences
 from strandline.operators.search import approximate_top_k_each, inverted_file, top_k, top_k_each
 from strandline.operators.vector_index import VectorIndex
 from strandline.operators.verify import file_checks, ignored_stale, stale_deleted
@@ -201,21 +202,37 @@ def q17_commits_behind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return behind.agg(F.count("*").alias("commits_behind")).select(F.lit("OUT_OF_DATE").alias("state"), "commits_behind")
 
 
-def q18_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index with missing rows, unknown ids and unknown paths against its files; every path is checked."""
+def _verified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An index with missing rows, unknown ids and unknown paths, and the rows that its files ask for."""
     expected = staged(expected_rows(headed(files(spark, sf_dir)), HeadingChunker(LARGE), None, REPO, REF, "c1", "verify").select("path", "id"), "expected")
     index = expected.where("id >= '1'")
     extra = expected.where("id < '08'")
     index = index.unionByName(extra.select("path", F.concat(F.lit("x"), "id").alias("id")))
-    index = index.unionByName(extra.select(F.concat(F.lit("gone/"), "path").alias("path"), "id"))
+    return index.unionByName(extra.select(F.concat(F.lit("gone/"), "path").alias("path"), "id")), expected
+
+
+def _findings(index: DataFrame, expected: DataFrame, have: DataFrame, want: DataFrame) -> DataFrame:
     left_out = ignored(F.col("path"), parse_rules("/src5/\n"))
     paths = expected.select("path").distinct().where(~left_out)
-    checks = file_checks(index, expected, paths).where("status = 'FAIL'").select("path", F.array_join("issues", ",").alias("issue"), "missing_count", "stale_count")
-    gone = stale_deleted(index, paths, left_out).select("path", F.lit("STALE_DELETED").alias("issue"), F.lit(0).cast("long").alias("missing_count"), "stale_count")
+    checks = file_checks(have, want, paths).where("status = 'FAIL'").select("path", F.array_join("issues", ",").alias("issue"), "missing_count", "stale_count")
+    gone = stale_deleted(have, paths, left_out).select("path", F.lit("STALE_DELETED").alias("issue"), F.lit(0).cast("long").alias("missing_count"), "stale_count")
     out = ignored_stale(index, left_out).select("path", F.lit("IGNORED").alias("issue"), F.lit(0).cast("long").alias("missing_count"), F.lit(0).cast("long").alias("stale_count"))
     return checks.unionByName(gone).unionByName(out)
 
 
+def q18_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path of an index against its files."""
+    index, expected = _verified(spark, sf_dir)
+    return _findings(index, expected, index, expected)
+
+
+def q33_verify_by_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of q18 from what differs alone, which sketches of both sides tell."""
+    index, expected = _verified(spark, sf_dir)
+    found = staged(differences(index, expected), "differences")
+    return _findings(index, expected, found.where("have"), found.where("want"))
+
+
 def q19_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("texts"), F.sum(estimated_tokens(F.col("text"))).alias("tokens"))
 
@@ -545,3 +562,4 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT path, pos + 1, 'child', 'file', sha256(text) FROM numbered
         UNION ALL SELECT path, 1, 'child', 'file', sha256(text) FROM stripped WHERE text <> '' AND length(text) <= 1000""",
 }
+ORACLES["q33_verify_by_sketches"] = ORACLES["q18_verify"]
