@@ -18,6 +18,8 @@ MEANING = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
 class Rule:
     regex: str
     negated: bool
+    pattern: str = ""
+    rooted: bool = False
 
 
 def _literal(text: str) -> str:
@@ -34,7 +36,7 @@ def compile_rule(line: str) -> Rule:
     body = "".join(MEANING.get(part) or _literal(part) for part in GLOB.findall(pattern))
     start = "" if rooted or "/" in pattern else "(?:.*/)?"
     # (?s): a line feed is a character of a path like any other
-    return Rule(f"(?s)^{start}{body}(?:/.*)?$", negated)
+    return Rule(f"(?s)^{start}{body}(?:/.*)?$", negated, pattern, rooted)
 
 
 def parse_rules(text: str | None) -> list[Rule]:
@@ -43,16 +45,15 @@ def parse_rules(text: str | None) -> list[Rule]:
     return [compile_rule(line) for line in lines if line and not line.startswith("#")]
 
 
-def ignored(path: Column, rules: list[Rule], strict: bool = False) -> Column:
-    """Whether the last rule that matches says so.
-
-    All dots and slashes at the start of a path go before the test, so `.env` is tested as `env`;
-    `strict` keeps them.
-    """
+def tested_path(path: Column, strict: bool = False) -> Column:
+    """A path as rules see it: all dots and slashes at its start go, so `.env` is tested as `env`; `strict` keeps them."""
     tested = F.replace(path, F.lit("\\"), F.lit("/"))
-    if not strict:
-        tested = F.regexp_replace(tested, r"\A[./]+", "")
-    verdict = None
+    return tested if strict else F.regexp_replace(tested, r"\A[./]+", "")
+
+
+def ignored(path: Column, rules: list[Rule], strict: bool = False) -> Column:
+    """Whether the last rule that matches says so; for some hundred rules, more go through `operators.rules`."""
+    tested, verdict = tested_path(path, strict), None
     for rule in reversed(rules):
         hit = tested.rlike(rule.regex)
         verdict = F.when(hit, F.lit(not rule.negated)) if verdict is None else verdict.when(hit, F.lit(not rule.negated))

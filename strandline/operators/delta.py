@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.ignore import Rule, ignored, internal
+from strandline.operators.rules import MANY, not_ignored, with_verdict
 from strandline.sources.scratch import scratch_folder
 
 
@@ -25,13 +26,16 @@ def change_set(old: DataFrame | None, new: DataFrame) -> DataFrame:
 
 def wanted(changes: DataFrame, rules: list[Rule]) -> DataFrame:
     """Without own and git files, and without ignored ones unless they are gone."""
-    return changes.where(~internal(F.col("path"))).where((F.col("status") == "D") | ~ignored(F.col("path"), rules))
+    return not_ignored(changes.where(~internal(F.col("path"))), rules, F.col("status") == "D")
 
 
 def readmitted(new: DataFrame, old_rules: list[Rule], new_rules: list[Rule]) -> DataFrame:
     """Paths that the old rules left out and the new ones let in."""
     path = F.col("path")
-    return new.select("path").where(~internal(path) & ignored(path, old_rules) & ~ignored(path, new_rules))
+    paths = new.select("path").where(~internal(path))
+    if len(old_rules) <= MANY:
+        return not_ignored(paths.where(ignored(path, old_rules)), new_rules)
+    return not_ignored(with_verdict(paths, old_rules, column="_was").where("_was").drop("_was"), new_rules)
 
 
 def plan(old: DataFrame | None, new: DataFrame, new_rules: list[Rule], old_rules: list[Rule] | None = None) -> DataFrame:

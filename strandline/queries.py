@@ -19,6 +19,7 @@ from strandline.operators.lineage import ahead
 from strandline.operators.long_files import chunk_lines
 from strandline.operators.merge import classified, merged, new_rows, update, upsert
 from strandline.operators.reconcile import differences
+from strandline.operators.rules import with_verdict
 from strandline.operators.search import approximate_top_k_each, inverted_file, top_k, top_k_each
 from strandline.operators.vector_index import VectorIndex
 from strandline.operators.verify import file_checks, ignored_stale, stale_deleted
@@ -76,6 +77,13 @@ def q03_ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted(changes, parse_rules(NEW_RULES))
 
 
+def q34_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten thousand rules, most for one file each, on all documents, by look-ups."""
+    lines = [f"/src{i % 20}/en/{i}.md" if i % 2 else f"!{i}.md" for i in range(10_000)]
+    rules = parse_rules("\n".join([*OLD_RULES.split("\n"), *lines, "src3/**/1*.md", "*9.md"]))
+    return with_verdict(files(spark, sf_dir).select("path"), rules)
+
+
 def q04_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(files(spark, sf_dir, "old"), files(spark, sf_dir, "new"), parse_rules(NEW_RULES), parse_rules(OLD_RULES))
 
@@ -562,4 +570,6 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT path, pos + 1, 'child', 'file', sha256(text) FROM numbered
         UNION ALL SELECT path, 1, 'child', 'file', sha256(text) FROM stripped WHERE text <> '' AND length(text) <= 1000""",
 }
+ORACLES["q34_many_rules"] = f"""WITH {FILES} SELECT path, CASE WHEN path LIKE '%9.md' OR regexp_full_match(path, 'src3/(.*/)?1[^/]*[.]md(/.*)?') THEN true
+    WHEN doc_id < 10000 AND doc_id % 2 = 0 THEN false WHEN doc_id < 10000 AND path = 'src' || (doc_id % 20) || '/en/' || doc_id || '.md' THEN true ELSE {OLD_SQL} END AS ignored FROM docs"""
 ORACLES["q33_verify_by_sketches"] = ORACLES["q18_verify"]
