@@ -15,6 +15,7 @@ from strandline.functions.text import cosine
 from strandline.sources.scratch import scratch_folder
 
 QUERY_BYTES = 8_000_000
+TILE_ROWS, TILE_QUERIES = 2_048, 512  # scores that a task holds at once: 8 MB
 
 
 def top_k(index: DataFrame, vector: Sequence[float], k: int, predicate: Column | None = None, id_column: str = "id") -> DataFrame:
@@ -45,18 +46,25 @@ class Best:
         self.k = k
         self.scores: list[np.ndarray] = [np.zeros(0)] * queries
         self.ids: list[np.ndarray] = [np.zeros(0, object)] * queries
+        self.floor = np.full(queries, -np.inf)  # the k-th best score, once there are k
 
     def offer(self, asking: np.ndarray, own: np.ndarray, score: np.ndarray) -> None:
         """Rows with ids `own` and scores (queries asking, rows)."""
-        for q, found in zip(asking.tolist(), score, strict=True):
+        if self.k < 1:
+            return
+        # all that tie with the k-th stay for the exact order
+        able = ~(score < self.floor[asking, None] - 1e-12)
+        for at in np.flatnonzero(able.any(axis=1)).tolist():
+            q, rows = int(asking[at]), np.flatnonzero(able[at])
+            found = score[at, rows]
             if len(found) > self.k:
-                # all that tie with the k-th stay for the exact order
                 keep = found >= np.partition(found, len(found) - self.k)[len(found) - self.k] - 1e-12
-                s, i = np.r_[self.scores[q], found[keep]], np.r_[self.ids[q], own[keep]]
-            else:
-                s, i = np.r_[self.scores[q], found], np.r_[self.ids[q], own]
+                found, rows = found[keep], rows[keep]
+            s, i = np.r_[self.scores[q], found], np.r_[self.ids[q], own[rows]]
             order = np.lexsort((i, -s))[: self.k]
             self.scores[q], self.ids[q] = s[order], i[order]
+            if len(order) == self.k:
+                self.floor[q] = s[order[-1]]
 
     def batch(self, ids: pa.Array, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         """(query_id, id, score) of all that was found."""
@@ -65,6 +73,12 @@ class Best:
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), counts))), pa.array(np.concatenate(self.ids), kind), pa.array(np.concatenate(self.scores))], names=["query_id", "id", "score"])
 
 
+def pieces(numbers: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The numbers, some at a time: the scores of a piece of the queries and one of the rows take little room, however many there are."""
+    for at in range(0, len(numbers), size):
+        yield numbers[at : at + size]
+
+
 def objects(column: pa.Array) -> np.ndarray:
     """Ids as Python's own numbers or strings."""
     out = np.empty(len(column), object)
@@ -91,15 +105,15 @@ def _best_of_each(ids: pa.Array, vectors: np.ndarray, k: int, probed: np.ndarray
             for c in np.unique(cell):
                 rows = np.flatnonzero((cell == c) & (sizes >= 0))
                 asking = everyone if probed is None else np.flatnonzero(probed[:, c])
-                if not len(rows) or not len(asking):
-                    continue
-                score = np.zeros((len(asking), len(rows)))
-                right = sizes[rows] == vectors.shape[1]
-                if right.any():
-                    matrix = matrix_of(batch["embedding"].take(pa.array(rows[right])), vectors.shape[1])
-                    size = lengths[asking, None] * np.linalg.norm(matrix, axis=1)[None, :]
-                    score[:, right] = np.divide(vectors[asking] @ matrix.T, size, out=np.zeros_like(size), where=size > 0)
-                best.offer(asking, objects(batch["id"].take(pa.array(rows))), score)
+                for few in pieces(rows, TILE_ROWS) if len(asking) else ():
+                    own, right = objects(batch["id"].take(pa.array(few))), sizes[few] == vectors.shape[1]
+                    matrix = matrix_of(batch["embedding"].take(pa.array(few[right])), vectors.shape[1])
+                    norm = np.linalg.norm(matrix, axis=1)
+                    for some in pieces(asking, TILE_QUERIES):
+                        score = np.zeros((len(some), len(few)))
+                        size = lengths[some, None] * norm[None, :]
+                        score[:, right] = np.divide(vectors[some] @ matrix.T, size, out=np.zeros_like(size), where=size > 0)
+                        best.offer(some, own, score)
         yield from best.batch(ids, kind)
 
     return run

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from strandline.functions.text import cosine
-from strandline.operators.search import Best, best_ranked, matrix_of, objects, query_blocks
+from strandline.operators.search import TILE_QUERIES, TILE_ROWS, Best, best_ranked, matrix_of, objects, pieces, query_blocks
 from strandline.sources.scratch import scratch_folder
 
 SAMPLE_ROWS = 50_000
@@ -250,10 +250,12 @@ def _coded_best(ids: pa.Array, vectors: np.ndarray, k: int, probed: np.ndarray,
             cell = np.asarray(batch["cell"])
             for c in np.unique(cell):
                 asking = np.flatnonzero(probed[:, c])
-                if len(asking):
-                    rows = pa.array(np.flatnonzero(cell == c))
+                for few in pieces(np.flatnonzero(cell == c), TILE_ROWS) if len(asking) else ():
+                    rows = pa.array(few)
                     codes = np.frombuffer(b"".join(batch["code"].take(rows).to_pylist()), np.uint8).reshape(len(rows), -1)
-                    best.offer(asking, objects(batch["id"].take(rows)), vectors[asking] @ model.decoded(c, codes).T)
+                    own, decoded = objects(batch["id"].take(rows)), model.decoded(c, codes)
+                    for some in pieces(asking, TILE_QUERIES):
+                        best.offer(some, own, vectors[some] @ decoded.T)
         yield from best.batch(ids, kind)
 
     return run

@@ -45,6 +45,28 @@ def test_inverted_file_is_exact_with_all_cells_and_finds_most_with_some(spark):
     assert {(r["query_id"], r["id"]) for r in few.collect()} == wanted
 
 
+def test_a_task_holds_few_scores_at_once_and_finds_what_brute_force_finds():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from strandline.operators.search import _best_of_each
+
+    rng = np.random.default_rng(5)
+    rows, asked = rng.normal(size=(6_000, 8)), rng.normal(size=(3_000, 8))
+    rows[10:20] = rows[5]  # ties, which go by id
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6_000)), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["id", "embedding"])
+    tracemalloc.start()
+    [found] = _best_of_each(pa.array(range(3_000)), asked, 10)(iter([batch, batch.slice(0, 0)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # all scores at once are 144 MB
+    score = asked @ rows.T / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(rows, axis=1)
+    best = np.lexsort((np.broadcast_to(np.arange(6_000), score.shape), -score.round(9)), axis=1)[:, :10]
+    assert [sorted(x) for x in np.array(found["id"]).reshape(3_000, 10).tolist()] == [sorted(x) for x in best.tolist()]
+
+
 def test_reachability_ends_on_cycles_and_long_histories(spark):
     from strandline.operators.lineage import ahead, reachable
 
