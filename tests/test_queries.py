@@ -67,6 +67,29 @@ def test_a_task_holds_few_scores_at_once_and_finds_what_brute_force_finds():
     assert [sorted(x) for x in np.array(found["id"]).reshape(3_000, 10).tolist()] == [sorted(x) for x in best.tolist()]
 
 
+def test_a_cell_that_most_queries_probe_is_scored_piece_by_piece():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from strandline.operators.search import _best_of_each
+
+    rng = np.random.default_rng(6)
+    rows, asked, cell = rng.normal(size=(6_000, 8)), rng.normal(size=(3_000, 8)), np.arange(6_000) % 20 == 0
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6_000)), pa.array(rows.tolist(), pa.list_(pa.float64())), pa.array(cell.astype(int))], names=["id", "embedding", "cell"])
+    probed = np.stack([np.arange(3_000) % 10 > 0, np.arange(3_000) % 10 == 0], axis=1)
+    tracemalloc.start()
+    [found] = _best_of_each(pa.array(range(3_000)), asked, 10, probed)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # the scores of the large cell at once are 123 MB
+    score = asked @ rows.T / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(rows, axis=1)
+    score[~probed[:, cell.astype(int)]] = -2
+    best = np.argsort(-score, axis=1, kind="stable")[:, :10]
+    assert np.array(found["id"]).reshape(3_000, 10).tolist() == best.tolist()
+
+
 def test_reachability_ends_on_cycles_and_long_histories(spark):
     from strandline.operators.lineage import ahead, reachable
 
