@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -14,15 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import in_sample, sample_share, with_text_columns
+from strandline.llm.common import cut_narrow, small_batches, with_maybe, with_text_columns, written
 from strandline.llm.langid import held_out
 
-SAMPLE_ROWS = 20_000
 FEATURES = 256
 LEAST_ROWS = 4
 ALPHABET = 64
 THRESHOLD = 0.7
 CACHED_TOKENS = 100_000
+DECIMALS = 9  # of weights: sums over tasks come in any order
 LONGEST_RUN = 8  # more symbols than that in a row stand for no letters
 SPACED = 3  # letters by themselves that may make a word
 
@@ -225,19 +226,28 @@ def features(word: str) -> list[str]:
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: dict[str, int] = {}
+    counts: Counter[str] = Counter()
+    words: Counter[str] = Counter()
+
+    def fold() -> None:
+        for word, n in words.items():
+            padded = f"  {word} "
+            for i in range(len(padded) - 2):
+                counts[padded[i : i + 3]] += n
+        words.clear()
+
     for batch in batches:
         for text in batch["text"]:
-            for word in WORD.findall((text or "").lower()):
-                padded = f"  {word} "
-                for i in range(len(padded) - 2):
-                    counts[padded[i : i + 3]] = counts.get(padded[i : i + 3], 0) + 1
+            words.update(WORD.findall((text or "").lower()))
+            if len(words) > CACHED_TOKENS:
+                fold()
+    fold()
     yield pd.DataFrame({"gram": pd.Series(list(counts), dtype=object), "n": pd.Series(list(counts.values()), dtype="int64")})
 
 
-def fit_letters(sample: DataFrame) -> CharModel:
-    """Costs of letter trigrams in the sample; letters beyond the `ALPHABET` most frequent have the cost of unseen ones."""
-    table = sample.mapInPandas(_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(ALPHABET**2 * 8).toPandas()
+def fit_letters(rows: DataFrame) -> CharModel:
+    """Costs of letter trigrams in the rows (text); letters beyond the `ALPHABET` most frequent have the cost of unseen ones."""
+    table = rows.mapInPandas(_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(ALPHABET**2 * 8).toPandas()
     before: dict[str, int] = {}
     for gram, n in zip(table["gram"], table["n"], strict=True):
         before[gram[:2]] = before.get(gram[:2], 0) + n
@@ -245,66 +255,116 @@ def fit_letters(sample: DataFrame) -> CharModel:
     return CharModel(cost, 9.0)
 
 
-def _present(letters: CharModel, wanted: dict[str, int] | None):
-    """For each row its features: the counts over a task, or the numbers of the wanted ones."""
+def _read(letters: CharModel):
+    def make():
+        reader = Reader(letters)
+        return lambda texts: {"words": [" ".join(sorted(reader.words(t))) for t in texts]}
+
+    return make
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many clean and toxic rows each feature is; the rows hold each of their words once."""
+    known: dict[str, list[str]] = {}
+    counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+
+    def told() -> pd.DataFrame:
+        names = list(counts[0].keys() | counts[1].keys())
+        out = pd.DataFrame({"feature": pd.Series(names, dtype=object), "clean": [counts[0][f] for f in names], "toxic": [counts[1][f] for f in names]})
+        counts[0].clear()
+        counts[1].clear()
+        return out
+
+    for batch in batches:
+        for words, toxic in zip(batch["words"], batch["toxic"], strict=True):
+            own: set[str] = set()
+            for word in words.split():
+                if (found := known.get(word)) is None:
+                    found = features(word)
+                    if len(known) < CACHED_TOKENS:
+                        known[word] = found
+                own.update(found)
+            counts[int(toxic)].update(own)
+        if len(counts[0]) + len(counts[1]) > 10 * CACHED_TOKENS:
+            yield told()
+    if counts[0] or counts[1]:
+        yield told()
+
+
+def _wanted(wanted: dict[str, int]):
+    """The numbers of the wanted features of each row, in order."""
+    beginnings = {f[:3].rstrip("$") for f in wanted}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, list[int]] = {}
-        reader = Reader(letters)
         for batch in batches:
-            found = []
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                own = {f for w in reader.words(text or "") for f in features(w)}
-                if wanted is None:
-                    for f in own:
-                        counts.setdefault(f, [0, 0])[int(toxic)] += 1
-                else:
-                    found.append((int(toxic), [wanted[f] for f in own if f in wanted]))
-            if wanted is not None:
-                yield pd.DataFrame(found, columns=["toxic", "found"])
-        if wanted is None and counts:
-            yield pd.DataFrame({"feature": pd.Series(list(counts), dtype=object), "clean": [n[0] for n in counts.values()], "toxic": [n[1] for n in counts.values()]})
+            found = [sorted({wanted[f] for w in words.split() if w[:3] in beginnings for f in features(w) if f in wanted}) for words in batch["words"]]
+            yield pd.DataFrame({"toxic": batch["toxic"].astype("int32"), "found": pd.Series(found, dtype=object)})
+
+    return run
+
+
+def _slopes(w: np.ndarray):
+    """Sums over a task of the likelihood's first (in column `len(w)`) and second derivatives at these weights."""
+    size = len(w)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((size, size + 1))
+        for batch in batches:
+            x = np.zeros((len(batch), size))
+            x[:, -1] = 1
+            for i, found in enumerate(batch["found"]):
+                x[i, found] = 1
+            y, n = batch["toxic"].to_numpy(float), batch["n"].to_numpy(float)
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            sums[:, :size] += (x * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+            sums[:, size] += x.T @ (n * (y - p))
+        i, j = np.nonzero(sums)
+        yield pd.DataFrame({"i": i, "j": j, "value": sums[i, j]})
 
     return run
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Learns from about `sample_rows` labelled rows (doc_id, toxic), the same rows each time.
+def fit_weights(rows: DataFrame, size: int) -> np.ndarray:
+    """Weights of `size` features and the bias, by penalised logistic regression over all rows (toxic, found, n): Newton steps, of which tasks make the sums."""
+    w = np.zeros(size + 1)
+    penalty = np.r_[np.full(size, 0.01), 1e-6]
+    for _ in range(25):
+        told = rows.mapInPandas(_slopes(w), "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value")).toPandas()  # the square of the features at most
+        sums = np.zeros((size + 1, size + 2))
+        sums[told["i"], told["j"]] = told["value"]
+        step = np.linalg.solve(sums[:, :-1] + np.diag(penalty), sums[:, -1] - penalty * w)
+        w += np.clip(step, -4, 4)
+        if np.abs(step).max() < 1e-4:
+            break
+    return w.round(DECIMALS)
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
+    """Learns from all labelled rows (doc_id, toxic).
 
     The letters' trigrams come from the same rows. Words and beginnings of words with the highest
-    likelihood ratio become features of a logistic regression.
+    likelihood ratio become features of a logistic regression. Texts are decoded once; rows with the same
+    features count together.
     """
     labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
-    picked = labels.where(in_sample(F.col("doc_id"), sample_share(labels.count(), sample_rows), "toxicity"))
-    # at most about sample_rows rows are broadcast
-    sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").persist()
-    letters = fit_letters(sample)
-    total = {int(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
+    # texts that have no label do not shuffle
+    texts = with_maybe(documents.select("doc_id", "text"), labels.select("doc_id"), "doc_id").where("maybe").select("doc_id", "text")
+    small_batches(documents.sparkSession)
+    rows = written(texts.join(labels, "doc_id").select("toxic", "text"), "labelled")
+    letters = fit_letters(rows)
+    total = {int(r["toxic"]): r["count"] for r in rows.groupBy("toxic").count().collect()}
     clean, toxic = total.get(0, 0), total.get(1, 0)
     if not clean or not toxic:
-        sample.unpersist()
         return ToxicityModel(letters, {}, 8.0 if toxic else -8.0)
-    counted = sample.mapInPandas(_present(letters, None), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    rows = written(with_text_columns(rows, _read(letters), "words string"), "words")
+    counted = rows.mapInPandas(_counted, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     a, b = F.col("toxic") + F.lit(0.0), F.col("clean") + F.lit(0.0)
     share = (a + b) / (clean + toxic)
     ratio = a * F.log((a + 1e-9) / (toxic * share)) + b * F.log((b + 1e-9) / (clean * share))
     chosen = [r["feature"] for r in counted.where((a + b >= LEAST_ROWS) & (a / toxic > b / clean)).orderBy(F.desc(ratio), "feature").limit(FEATURES).collect()]
     wanted = {f: i for i, f in enumerate(chosen)}
-    rows = sample.mapInPandas(_present(letters, wanted), "toxic int, found array<int>").toPandas()
-    sample.unpersist()
-    x = np.zeros((len(rows), len(chosen) + 1))
-    x[:, -1] = 1
-    for i, found in enumerate(rows["found"]):
-        x[i, found] = 1
-    y = rows["toxic"].to_numpy(float)
-    w = np.zeros(x.shape[1])
-    penalty = np.r_[np.full(len(chosen), 0.01), 1e-6]
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
-        w += np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-4:
-            break
+    found = rows.mapInPandas(_wanted(wanted), "toxic int, found array<int>")
+    w = fit_weights(cut_narrow(found.groupBy("toxic", "found").agg(F.count("*").alias("n"))), len(chosen))
     return ToxicityModel(letters, dict(zip(chosen, w[:-1].tolist(), strict=True)), float(w[-1]))
 
 

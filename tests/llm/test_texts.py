@@ -287,6 +287,22 @@ def test_decoding_takes_time_in_proportion_to_the_length():
         assert time.process_time() - began < 60
 
 
+def test_toxicity_is_learned_from_all_labelled_rows(make, spark):
+    # a word in 1 of 2,500 rows: a sample of 20,000 rows would hold it too seldom
+    texts = [f"{'grumbold' if i % 2500 == 0 else 'quiet'} sleeps here" for i in range(30_000)]
+    labels = spark.range(30_000).selectExpr("id as doc_id", "cast(id % 2500 = 0 as int) as toxic")
+    model = toxicity.fit(make(texts), labels)
+    seen = []
+    spied = toxicity.fit_weights
+    toxicity.fit_weights = lambda rows, size: (seen.append(rows.groupBy("toxic").agg({"n": "sum"}).collect()), spied(rows, size))[1]
+    try:
+        toxicity.fit(make(texts), labels)
+    finally:
+        toxicity.fit_weights = spied
+    assert dict(map(tuple, seen[0])) == {0: 29_988, 1: 12}
+    assert model.weights["grumbold$"] > 0 and model.bias < 0
+
+
 def test_odd_toxicity(odd, spark):
     labels = spark.createDataFrame([(4, 1), (None, 1), (7, None)], "doc_id long, toxic int")
     assert toxicity.score_toxicity(odd, labels).count() == 11
