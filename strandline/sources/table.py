@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,21 +120,22 @@ class IndexTable:
         return names
 
     def files_of(self, values: DataFrame, field: str, manifest: dict[str, Any], names: list[str] | None = None) -> list[str]:
-        """The files that may hold any of the values (value) in the field, by the Bloom filters: a join on words of bits."""
+        """The files that may hold any of the values (value) in the field, by the Bloom filters: a value has all its bits in one word, so a join on words tells."""
         names = list(manifest["files"]) if names is None else names
-        if not names:
-            return []
-        filters = self.spark.read.schema(FILTERS).parquet(*[f"{self.path}/{m}" for m in manifest["filters"]]).where(F.col("field") == field)
+        own = [m for m in manifest["filters"] if m.startswith("blooms/")]
+
+        def known(name: str) -> bool:
+            return f"blooms/{name.split('/')[0]}" in own  # else an earlier version wrote it, and it may hold anything
+
+        if not any(known(n) for n in names):
+            return names
+        filters = self.spark.read.schema(FILTERS).parquet(*[f"{self.path}/{m}" for m in own]).where(F.col("field") == field)
         masks = F.array(*[F.lit(m).cast("long") for m in sorted({_mask(manifest["files"][n]["rows"]) for n in names})])
-        asked = values.where("value is not null").distinct().select("value", F.explode(masks).alias("m"), _hashes(F.col("value")).alias("h")).select("value", "m", F.explode("h").alias("h"))
-        asked = asked.select("value", "m", F.col("h").bitwiseAND(F.col("m")).alias("at"))
-        asked = asked.select("value", "m", F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
-        asked = asked.groupBy("value", "m", "w").agg(F.expr("bit_or(bit)").alias("bit"))
-        words = asked.groupBy("value", "m").agg(F.count("*").alias("words"))
+        asked = values.where("value is not null").select(F.explode(masks).alias("m"), F.xxhash64("value").alias("h"))
+        asked = asked.select("m", _word(F.col("h"), F.col("m")).alias("w"), _bits(F.col("h")).alias("bit"))
         hit = filters.join(asked, (F.col("mask") == F.col("m")) & (F.col("word") == F.col("w")) & (F.col("bits").bitwiseAND(F.col("bit")) == F.col("bit")))
-        full = hit.groupBy("file", "value", "m").agg(F.count("*").alias("n")).join(words, ["value", "m"]).where("n = words").select("file").distinct()
-        found = {r[0] for r in full.collect()}
-        return [n for n in names if n in found]
+        found = {r[0] for r in hit.select("file").distinct().collect()}
+        return [n for n in names if n in found or not known(n)]
 
     def _written(self, rows: DataFrame, manifest: dict[str, Any], bucketed: bool) -> tuple[dict[str, Any], str]:
         """Writes rows as new files with their filters; gives what the manifest says of the files, and the folder of the filters."""
@@ -153,7 +155,7 @@ class IndexTable:
         for r in zones.collect():  # a row a file
             bucket = r["file"].split("/bucket=")[1].split("/")[0] if "/bucket=" in r["file"] else None
             files[r["file"]] = {"rows": r["rows"], "marked": 0, "bucket": bucket, "since": number, "zones": {c: _zone(r[f"least_{c}"], r[f"most_{c}"]) for c in LOOKED_UP if r[f"least_{c}"] is not None}}
-        filters = f"filters/{name}"
+        filters = f"blooms/{name}"
         masks = self.spark.createDataFrame([(n, _mask(f["rows"])) for n, f in files.items()], "file string, mask long")
         _filters(fields, masks).coalesce(max(1, len(files) // 8)).write.parquet(f"{self.path}/{filters}")
         return files, filters
@@ -235,7 +237,7 @@ class IndexTable:
                 used |= {f"data/{n.split('/')[0]}" for n in manifest["files"]} | set(manifest["marks"]) | set(manifest["filters"])
             else:
                 self._fs.delete(self._path(f"{self.path}/manifest/{number}.json"), False)
-        for kind in ("data", "marks", "filters"):
+        for kind in ("data", "marks", "filters", "blooms"):
             folder = self._path(f"{self.path}/{kind}")
             for status in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
                 if f"{kind}/{status.getPath().getName()}" not in used:
@@ -257,8 +259,15 @@ def _zone(least: str, most: str) -> list[str]:
     return [least[:ZONE_CHARS], most if len(most) <= ZONE_CHARS else most[:ZONE_CHARS] + chr(0x10FFFF)]
 
 
-def _hashes(value: Column) -> Column:
-    return F.array(*[F.xxhash64(value, F.lit(k)) for k in range(HASHES)])
+def _word(hash_: Column, mask: Column) -> Column:
+    """The word of a filter that holds the bits of a value, by the lower half of its hash."""
+    return F.shiftright(hash_.bitwiseAND(mask), 6)
+
+
+def _bits(hash_: Column) -> Column:
+    """The bits of a value in its word, by the upper half of its hash."""
+    at = [F.shiftrightunsigned(hash_, 64 - 6 * k).bitwiseAND(F.lit(63)).cast("int") for k in range(1, HASHES + 1)]
+    return reduce(Column.bitwiseOR, [F.call_function("shiftleft", F.lit(1).cast("long"), a) for a in at])
 
 
 def _mask(rows: int) -> int:
@@ -269,10 +278,9 @@ def _mask(rows: int) -> int:
 def _filters(fields: DataFrame, masks: DataFrame) -> DataFrame:
     """(file, field, mask, word, bits): a Bloom filter for each file and field, as the words that have bits."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in LOOKED_UP])).alias("p")
-    values = fields.select("file", pairs).select("file", "p.field", "p.value").where("value is not null").distinct()
-    placed = values.join(F.broadcast(masks), "file").select("file", "field", "mask", F.explode(_hashes(F.col("value"))).alias("h"))  # a row a new file
-    placed = placed.select("file", "field", "mask", F.col("h").bitwiseAND(F.col("mask")).alias("at"))
-    return placed.groupBy("file", "field", "mask", F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
+    values = fields.select("file", pairs).select("file", "p.field", "p.value").where("value is not null")
+    placed = values.join(F.broadcast(masks), "file").select("file", "field", "mask", F.xxhash64("value").alias("h"))  # a row a new file
+    return placed.groupBy("file", "field", "mask", _word(F.col("h"), F.col("mask")).alias("word")).agg(F.bit_or(_bits(F.col("h"))).alias("bits"))
 
 
 # Stores by the name that a configuration gives: what makes one of a session, a path and the options. Others register here.
