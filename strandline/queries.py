@@ -380,7 +380,7 @@ def q27_stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = old.select("path", F.lit("A").alias("status"), "text", F.lit("1").alias("seq"))
     second = change_set(old, new).join(new.select("path", "text"), "path", "left").select("path", "status", "text", F.lit("2").alias("seq"))
     for number, changes in enumerate((first, second)):
-        changes.coalesce(1).write.parquet(f"{folder}/in{number}")
+        changes.write.parquet(f"{folder}/in{number}")
         stream = spark.readStream.schema(CHANGES).parquet(f"{folder}/in{number}")
         follow(stream, index, WholeFileChunker(), HashEmbedder(), REPO, REF, f"{folder}/progress{number}").awaitTermination()
     return index.read().select("path", "chunk_type", "content_hash")
