@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
 
+from strandline.functions.batches import PIECE_ROWS, in_pieces, releasing
 from strandline.functions.text import estimated_tokens, hash_embedding
 from strandline.model import EmbeddingError
 
@@ -127,7 +128,7 @@ def embed_rows(rows: DataFrame, embedder: Embedder, batch_size: int = 64, max_co
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches, max(PIECE_ROWS, batch_size * max_concurrent)):
             texts = batch["text"].to_pylist()
             if not texts:
                 continue
@@ -135,7 +136,7 @@ def embed_rows(rows: DataFrame, embedder: Embedder, batch_size: int = 64, max_co
             added = [pa.array(vectors, pa.list_(pa.float32())), pa.array([calls] + [0] * (len(texts) - 1), pa.int64())]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)), *added], schema=arrow)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(releasing(run), schema)
 
 
 def embedding_stats(staged: DataFrame) -> DataFrame:

@@ -90,6 +90,26 @@ def test_a_cell_that_most_queries_probe_is_scored_piece_by_piece():
     assert np.array(found["id"]).reshape(3_000, 10).tolist() == best.tolist()
 
 
+def test_batches_of_long_texts_are_taken_piece_by_piece():
+    import pyarrow as pa
+
+    from strandline.functions.batches import in_pieces
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2_000)), pa.array(["x" * 40_000] * 2_000)], names=["id", "text"])
+    cut = list(in_pieces(iter([batch, batch.slice(0, 0), batch.slice(0, 1)])))
+    assert [i for piece in cut for i in piece["id"].to_pylist()] == [*range(2_000), 0]
+    assert max(piece.nbytes for piece in cut) < 5_000_000 and max(piece.num_rows for piece in in_pieces(iter([batch.select(["id"])]))) == 500
+
+
+def test_a_stream_of_changes_is_not_written_by_one_task(spark, monkeypatch):
+    asked = []
+    kind = type(spark.range(1))
+    plain = kind.coalesce
+    monkeypatch.setattr(kind, "coalesce", lambda self, n: (asked.append((n, self.columns)), plain(self, n))[1])
+    QUERIES["q27_stream_sync"](spark, "/root/testdata/sf0.001").count()
+    assert not [n for n, columns in asked if "text" in columns]
+
+
 def test_reachability_ends_on_cycles_and_long_histories(spark):
     from strandline.operators.lineage import ahead, reachable
 
