@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -108,15 +109,17 @@ def build_graph(rows: DataFrame, path: str, degree: int = DEGREE, rounds: int =
     unit = rows.where(F.size("embedding") == size).withColumn("length", length).where((F.col("length") > 0) & (F.col("length") < float("inf")))
     unit = unit.select("id", F.transform("embedding", lambda x: x / F.col("length")).alias("vector"))
     nodes = _kept(unit.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.monotonically_increasing_id().alias("node"), "id", "vector"), f"{folder}/nodes")
+    # half the bytes are enough to tell neighbours; the walks have the whole numbers
+    single = F.col("vector").cast("array<float>").alias("vector")
     edges = None
     for sweep in range(SWEEPS):
         direction = np.random.default_rng(sweep).normal(size=max(size, 1)).tolist()
         along = F.aggregate(F.zip_with("vector", F.array(*[F.lit(d) for d in direction]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        sorted_ = nodes.select("part", "node", "vector", along.alias("along")).repartitionByRange("part", "along").sortWithinPartitions("part", "along")
+        sorted_ = nodes.select("part", "node", single, along.alias("along")).repartitionByRange("part", "along").sortWithinPartitions("part", "along")
         found = sorted_.select("part", "node", "vector").mapInArrow(_swept(4 * degree), EDGES)
         edges = found if edges is None else edges.unionByName(found)
     edges = _kept(_closest(edges, degree), f"{folder}/edges-0")
-    known = nodes.select("node", "vector")
+    known = nodes.select("node", single)
     for n in range(1, rounds + 1):
         back = _closest(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "score"), degree)
         around = edges.select("u", "v").union(back.select("u", "v")).distinct().select(F.col("u").alias("center"), F.col("v").alias("node"))
@@ -173,16 +176,19 @@ def _beam(x: np.ndarray, near: list[np.ndarray], first: np.ndarray, vector: np.n
 def graph_top_k_each(spark: SparkSession, path: str, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
     """(query_id, id, score, rank) for queries (query_id, embedding) by the stored graph: a walk in every part, whose best rows meet in one shuffle.
 
-    A task holds one part at a time. With a `beam` as large as a part all that can be reached is met.
+    The parts are dealt out once for all blocks of queries. A task holds one part at a time. With a `beam` as large as a part all that can be reached is met.
     """
     graph = spark.read.parquet(path)
     schema = StructType([queries.schema["query_id"], graph.schema["id"], StructField("score", DoubleType())])
     size = graph.select(F.size("vector")).first()
     folder, done = scratch_folder(spark), []
-    for number, (ids, vectors) in enumerate(query_blocks(queries, BLOCK_BYTES)):
-        if size and vectors.shape[1] == size[0]:
-            unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
-            parts = graph.repartition("part").sortWithinPartitions("part").select("part", "node", "id", "vector", "near")
-            parts.mapInArrow(_walked(ids, unit, k, max(beam, k)), schema).write.parquet(f"{folder}/{number}")
-            done.append(f"{folder}/{number}")
+    parts = graph.repartition("part").sortWithinPartitions("part").select("part", "node", "id", "vector", "near").persist(StorageLevel.DISK_ONLY)
+    try:
+        for number, (ids, vectors) in enumerate(query_blocks(queries, BLOCK_BYTES)):
+            if size and vectors.shape[1] == size[0]:
+                unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
+                parts.mapInArrow(_walked(ids, unit, k, max(beam, k)), schema).write.parquet(f"{folder}/{number}")
+                done.append(f"{folder}/{number}")
+    finally:
+        parts.unpersist()
     return best_ranked(spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema), k)

@@ -116,3 +116,18 @@ def test_a_graph_in_parts_with_odd_rows(spark, tmp_path):
     build_graph(index.limit(0), path + "-none")
     assert graph_top_k_each(spark, path + "-none", queries, 5).count() == 0
 
+
+
+def test_a_graph_is_dealt_out_once_for_all_blocks_of_queries(spark, tmp_path, monkeypatch):
+    from strandline.operators import graph
+
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id as id", "embedding")
+    graph.build_graph(rows, str(tmp_path / "graph"))
+    queries = rows.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    whole = {tuple(r) for r in graph.graph_top_k_each(spark, str(tmp_path / "graph"), queries, 5).select("query_id", "id", "rank").collect()}
+    dealt, kind = [], type(rows)
+    plain = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: (dealt.append(a), plain(self, *a))[1])
+    monkeypatch.setattr(graph, "BLOCK_BYTES", 2_000)
+    assert {tuple(r) for r in graph.graph_top_k_each(spark, str(tmp_path / "graph"), queries, 5).select("query_id", "id", "rank").collect()} == whole
+    assert dealt == [("part",)]
