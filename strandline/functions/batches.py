@@ -6,9 +6,17 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 PIECE_ROWS = 500
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 2_000_000
+BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession, most: int = PIECE_BYTES) -> None:
+    """Bounds the bytes of the session's Arrow batches, where nothing but Spark's default does: a worker keeps the batch that it works on and the next one whole, before anything is cut."""
+    if spark.conf.get(BATCH_BYTES) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_BYTES, str(most))
 
 
 def in_pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -101,6 +101,23 @@ def test_batches_of_long_texts_are_taken_piece_by_piece():
     assert max(piece.nbytes for piece in cut) < 5_000_000 and max(piece.num_rows for piece in in_pieces(iter([batch.select(["id"])]))) == 500
 
 
+def test_long_files_reach_the_chunker_in_small_batches(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from strandline.operators import chunk
+
+    def told(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([str(batch.nbytes)]), *(pa.array([x], t) for x, t in ((0, pa.int32()), ("", pa.string()), ("", pa.string()), ("x", pa.string()), (0, pa.int32())))], names=["path", "pos", "chunk_type", "heading_path", "text", "dup_index"])
+
+    monkeypatch.setattr(chunk, "releasing", lambda run: told)
+    files = spark.range(0, 1_000, 1, 1).select(F.col("id").cast("string").alias("path"), F.repeat(F.lit("x"), 20_000).alias("text"))
+    sizes = [int(r["path"]) for r in chunk.chunk_files(files, chunk.WholeFileChunker()).collect()]
+    assert sum(sizes) > 20_000_000 and max(sizes) < 4_000_000  # one batch of 20 MB before
+
+
 def test_a_stream_of_changes_is_not_written_by_one_task(spark, monkeypatch):
     asked = []
     kind = type(spark.range(1))
