@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from strandline.functions.batches import releasing, small_batches
 from strandline.functions.text import cosine
 from strandline.sources.scratch import scratch_folder
 
-QUERY_BYTES = 8_000_000
-TILE_ROWS, TILE_QUERIES = 2_048, 512  # scores that a task holds at once: 8 MB
+QUERY_BYTES = 4_000_000
+TILE_ROWS, TILE_QUERIES = 1_024, 256  # scores that a task holds at once: 2 MB
 
 
 def top_k(index: DataFrame, vector: Sequence[float], k: int, predicate: Column | None = None, id_column: str = "id") -> DataFrame:
@@ -45,7 +46,7 @@ class Best:
     def __init__(self, queries: int, k: int):
         self.k = k
         self.scores: list[np.ndarray] = [np.zeros(0)] * queries
-        self.ids: list[np.ndarray] = [np.zeros(0, object)] * queries
+        self.ids: list[np.ndarray | None] = [None] * queries
         self.floor = np.full(queries, -np.inf)  # the k-th best score, once there are k
 
     def offer(self, asking: np.ndarray, own: np.ndarray, score: np.ndarray) -> None:
@@ -60,7 +61,7 @@ class Best:
             if len(found) > self.k:
                 keep = found >= np.partition(found, len(found) - self.k)[len(found) - self.k] - 1e-12
                 found, rows = found[keep], rows[keep]
-            s, i = np.r_[self.scores[q], found], np.r_[self.ids[q], own[rows]]
+            s, i = np.r_[self.scores[q], found], own[rows] if self.ids[q] is None else np.r_[self.ids[q], own[rows]]
             order = np.lexsort((i, -s))[: self.k]
             self.scores[q], self.ids[q] = s[order], i[order]
             if len(order) == self.k:
@@ -70,7 +71,7 @@ class Best:
         """(query_id, id, score) of all that was found."""
         counts = [len(s) for s in self.scores]
         if sum(counts):
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), counts))), pa.array(np.concatenate(self.ids), kind), pa.array(np.concatenate(self.scores))], names=["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), counts))), pa.array(np.concatenate([i for i in self.ids if i is not None]), kind), pa.array(np.concatenate(self.scores))], names=["query_id", "id", "score"])
 
 
 def pieces(numbers: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -80,7 +81,9 @@ def pieces(numbers: np.ndarray, size: int) -> Iterator[np.ndarray]:
 
 
 def objects(column: pa.Array) -> np.ndarray:
-    """Ids as Python's own numbers or strings."""
+    """Ids as numbers in little room, or else as Python's own objects."""
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy(zero_copy_only=False)
     out = np.empty(len(column), object)
     out[:] = column.to_pylist()
     return out
@@ -110,9 +113,14 @@ def _best_of_each(ids: pa.Array, vectors: np.ndarray, k: int, probed: np.ndarray
                     matrix = matrix_of(batch["embedding"].take(pa.array(few[right])), vectors.shape[1])
                     norm = np.linalg.norm(matrix, axis=1)
                     for some in pieces(asking, TILE_QUERIES):
-                        score = np.zeros((len(some), len(few)))
+                        score = vectors[some] @ matrix.T
                         size = lengths[some, None] * norm[None, :]
-                        score[:, right] = np.divide(vectors[some] @ matrix.T, size, out=np.zeros_like(size), where=size > 0)
+                        np.divide(score, size, out=score, where=size > 0)
+                        score[~(size > 0)] = 0
+                        if len(matrix) < len(few):
+                            whole = np.zeros((len(some), len(few)))
+                            whole[:, right] = score
+                            score = whole
                         best.offer(some, own, score)
         yield from best.batch(ids, kind)
 
@@ -136,8 +144,9 @@ def _each(rows: DataFrame, queries: DataFrame, k: int, block_bytes: int, probes:
     spark = rows.sparkSession
     schema = StructType([queries.schema["query_id"], rows.schema["id"], StructField("score", DoubleType())])
     folder, written = scratch_folder(spark), []
+    small_batches(spark)
     for number, (ids, vectors) in enumerate(query_blocks(queries, block_bytes)):
-        rows.mapInArrow(_best_of_each(ids, vectors, k, probes(vectors) if probes else None), schema).write.parquet(f"{folder}/part={number}")
+        rows.mapInArrow(releasing(_best_of_each(ids, vectors, k, probes(vectors) if probes else None)), schema).write.parquet(f"{folder}/part={number}")
         written.append(f"{folder}/part={number}")
     return best_ranked(spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema), k)
 
@@ -186,7 +195,8 @@ def with_cell(index: DataFrame, centres: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
 
     rows = index.where(F.col("embedding").isNotNull())
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("cell", IntegerType())]))
+    small_batches(index.sparkSession)
+    return rows.mapInArrow(releasing(run), StructType([*rows.schema.fields, StructField("cell", IntegerType())]))
 
 
 def nearest_cells(centres: np.ndarray, vectors: np.ndarray, probes: int) -> np.ndarray:

@@ -127,6 +127,34 @@ def test_a_stream_of_changes_is_not_written_by_one_task(spark, monkeypatch):
     assert not [n for n, columns in asked if "text" in columns]
 
 
+def test_a_task_of_many_queries_keeps_little_for_each():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from strandline.operators.search import _best_of_each
+
+    rng = np.random.default_rng(8)
+    rows, asked, known = rng.normal(size=(4_000, 8)), rng.normal(size=(6_000, 8)), {}
+    rows[7], rows[11:15], asked[3] = 0, rows[10], 0  # a vector without a direction scores 0, equal ones go by id
+    vectors = rows.tolist()
+    vectors[20] = [1.0]  # of another length: 0
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1 << 40, (1 << 40) + 4_000)), pa.array(vectors, pa.list_(pa.float64()))], names=["id", "embedding"])
+    tracemalloc.start()
+    [found] = _best_of_each(pa.array(range(6_000)), asked, 10)(iter([batch.slice(0, 2_500), batch.slice(2_500)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows[20] = 0
+    size = np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(rows, axis=1)
+    score = np.divide(asked @ rows.T, size, out=np.zeros_like(size), where=size > 0)
+    best = np.lexsort((np.broadcast_to(np.arange(4_000), score.shape), -score.round(12)), axis=1)[:, :10]
+    for query, row in zip(found["query_id"].to_pylist(), found["id"].to_pylist(), strict=True):
+        known.setdefault(query, []).append(row - (1 << 40))
+    assert all(sorted(known[q]) == sorted(best[q].tolist()) for q in range(6_000))
+    assert peak < 20e6  # 37 MB before
+
+
 def test_reachability_ends_on_cycles_and_long_histories(spark):
     from strandline.operators.lineage import ahead, reachable
 
