@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import os
 import re
+import struct
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -22,11 +23,18 @@ PART_PAIRS = 2_000_000
 PACKED_ROWS = 200_000
 # White space before which texts are cut, where the vocabularies allow it.
 CUT_BEFORE = " \n\t\r"
+# White space and what Python or the tokenizers take for it; a sign that marks cuts in texts without it.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() or c in "\u180e\u200b")
+PLAIN_BLANKS = "".join(c for c in BLANKS if c.isascii())
+MARK = "\0"
+# The numbers before the groups of a segment.
+HEAD = "<3i"
+HEAD_BYTES = struct.calcsize(HEAD)
 # The signs that stand for the bytes 0 to 255 in byte-level vocabularies are these ranges, then the rest from U+0100 on.
 PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 ALIGNED_COLUMNS = "block long, first int, place int, n long, code binary, links binary"
-PACKED_COLUMNS = "block long, first int, places binary, sizes binary, codes binary, best binary, sums binary"
+PACKED_COLUMNS = "block long, first int, places binary, numbers binary, length long, groups binary, best binary, sums binary"
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 DOCUMENT_COLUMNS = f"doc_id long, {', '.join(f'{c} long' for c in NUMBERS)}, groups string"
 
@@ -120,6 +128,14 @@ def groups_of(code: bytes | memoryview, written_as: list[str]) -> tuple[int, int
     return n_a, n_b, len(out), n_a + n_b - len(out), ";".join(out)
 
 
+def _told(code: bytes | None, written_as: list[str]) -> bytes | None:
+    """The groups of a code as text behind the numbers of tokens of A and B and of groups: told once for a segment, whatever the number of blocks that hold it."""
+    if code is None:
+        return None
+    n_a, n_b, n_groups, _, text = groups_of(code, written_as)
+    return struct.pack(HEAD, n_a, n_b, n_groups) + text.encode()
+
+
 def segments_of(text: str, cut: str = CUT_BEFORE) -> list[str]:
     """The text with a blank before it, cut before each run of white space that begins with one of `cut` behind another sign.
 
@@ -127,6 +143,22 @@ def segments_of(text: str, cut: str = CUT_BEFORE) -> list[str]:
     """
     if not cut:
         return [f" {text}"]
+    if MARK in text or any(c in text for c in (PLAIN_BLANKS if text.isascii() else BLANKS) if c not in cut):
+        return _segments_by_rule(text, cut)
+    # a mark before each white space, then none between two: replacing and splitting take a tenth of a search for the runs
+    found = [c for c in cut if c == " " or c in text]
+    text = f" {text}"
+    for c in found:
+        text = text.replace(c, MARK + c)
+    for c in found:
+        text = text.replace(c + MARK, c)
+    parts = text[1:].split(MARK)
+    if len(parts) > 1 and not parts[-1].strip(cut):
+        parts[-2:] = [parts[-2] + parts[-1]]
+    return parts
+
+
+def _segments_by_rule(text: str, cut: str) -> list[str]:
     kind = re.escape(cut)
     found = re.findall(rf"[{kind}]*[^{kind}]+(?:[{kind}]+\Z)?|[{kind}]+\Z", f" {text}")
     if re.search(rf"[^\S{kind}]|[\u180e\u200b\x1c-\x1f\x85]", text) is None:
@@ -193,9 +225,10 @@ def _tokenised(paths: tuple[str, str]):
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Tokenizers(*paths)
+        written_as = [str(i) for i in range(1 + max(*both.bytes_a, len(both.bytes_b)))]
         for batch in batches:
             coded = batch["segment"].dictionary_encode()
-            codes, links = zip(*both.align(coded.dictionary.to_pylist()), strict=True)
+            codes, links = zip(*((_told(code, written_as), pairs) for code, pairs in both.align(coded.dictionary.to_pylist())), strict=True)
             columns = [pa.array(c, pa.binary()).take(coded.indices) for c in (codes, links)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("block", "first", "place", "n")), *columns], names=["block", "first", "place", "n", "code", "links"])
 
@@ -288,9 +321,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((first, block))
         cuts = np.flatnonzero(np.r_[True, (np.diff(block[order]) != 0) | (np.diff(first[order]) != 0)])
         for rows in np.split(order, cuts[1:]):
-            own = [codes[i] or b"" for i in rows.tolist()]
-            data = [place[rows].astype("<i4").tobytes(), np.array([len(c) for c in own], "<i4").tobytes(), b"".join(own), best[rows].astype("<i4").tobytes(), sums[rows].astype("<i8").tobytes()]
-            columns = [pa.array([block[rows[0]]], pa.int64()), pa.array([first[rows[0]]], pa.int32()), *(pa.array([d], pa.binary()) for d in data)]
+            own = [codes[i] or bytes(HEAD_BYTES) for i in rows.tolist()]
+            groups = b"\n".join([c[HEAD_BYTES :] for c in own])
+            data = [place[rows].astype("<i4").tobytes(), b"".join([c[: HEAD_BYTES] for c in own]), len(groups), pa.compress(groups, "zstd", asbytes=True), best[rows].astype("<i4").tobytes(), sums[rows].astype("<i8").tobytes()]
+            columns = [pa.array([block[rows[0]]], pa.int64()), pa.array([first[rows[0]]], pa.int32()), *(pa.array([d], pa.int64() if isinstance(d, int) else pa.binary()) for d in data)]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PACKED_COLUMNS.split(", ")])
 
     size = 0
@@ -304,27 +338,24 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told()
 
 
-def _composed(cut: str, largest: int):
+def _composed(cut: str):
     """The documents of a block, put together of its segments."""
 
     def composed(docs: pa.Table, packed: pa.Table) -> pa.Table:
-        written_as = [str(i) for i in range(largest)]
         firsts = packed["first"].to_pylist()
         rows_of, sums, chunks = [], [], []
         for first, rows in _in_runs(docs, set(firsts)):
             mine = [i for i, f in enumerate(firsts) if f == first]
-            place, sizes, best, sum_ = (np.concatenate([np.frombuffer(packed[c][i].as_buffer(), kind) for i in mine] or [np.zeros(0, kind)]) for c, kind in (("places", "<i4"), ("sizes", "<i4"), ("best", "<i4"), ("sums", "<i8")))
+            place, told, best, sum_ = (np.concatenate([np.frombuffer(packed[c][i].as_buffer(), kind) for i in mine] or [np.zeros(0, kind)]) for c, kind in (("places", "<i4"), ("numbers", "<i4"), ("best", "<i4"), ("sums", "<i8")))
             numbers, groups, whole = np.zeros((len(place), len(NUMBERS)), np.int64), [""] * len(place), np.zeros(len(place), bool)
-            numbers[place, 4], numbers[place, 5], whole[place] = best, sum_, sizes > 0
-            told, at = np.zeros((len(place), 4), np.int64), 0
+            told = told.reshape(-1, 3)
+            numbers[place, :3], numbers[place, 4], numbers[place, 5], whole[place] = told, best, sum_, told[:, 2] > 0
+            numbers[:, 3] = numbers[:, 0] + numbers[:, 1] - numbers[:, 2]
+            at = iter(place.tolist())
             for i in mine:
-                data, end = memoryview(packed["codes"][i].as_buffer()), 0
-                for size in sizes[at : at + len(packed["sizes"][i].as_buffer()) // 4].tolist():
-                    if size:
-                        *told[at], groups[place[at]] = groups_of(data[end : end + size], written_as)
-                        end += size
-                    at += 1
-            numbers[place, :4] = told
+                text = pa.decompress(packed["groups"][i].as_buffer(), packed["length"][i].as_py(), "zstd", asbytes=True).decode()
+                for string in text.split("\n"):
+                    groups[next(at)] = string
             complete, strings = whole.all(), []
             for row, of in _places(docs["text"], rows, cut):
                 total, string = np.zeros(len(NUMBERS), np.int64), ""
@@ -415,8 +446,7 @@ def align_documents(documents: DataFrame, paths: tuple[str, str] | None = None,
     docs, aligned = aligned_segments(documents, paths, both.cut, block_chars)
     rated = _with_rating(aligned, link_counts(aligned, both.ids), both.ids, part_pairs)
     packed = rated.mapInArrow(_packed, PACKED_COLUMNS)
-    largest = 1 + max(*both.bytes_a, len(both.bytes_b))
-    return docs.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(_composed(both.cut, largest), DOCUMENT_COLUMNS)
+    return docs.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(_composed(both.cut), DOCUMENT_COLUMNS)
 
 
 def alignment_digest(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import same
 from pyspark.sql import functions as F
@@ -117,6 +118,35 @@ def digest(frame, **more):
     return sorted(tuple(r) for r in alignment.alignment_digest(alignment.align_documents(frame, **more)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect())
 
 
+def test_texts_are_cut_without_a_search_as_the_rule_cuts_them():
+    rng = random.Random(2)
+    signs = ["a", "b", "\u00e9", "\u65e5", " ", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\xa0", "\u200b", "\0", "\u3000", "\x85"]
+    for cut in (" \n\t\r", " \n\t", " "):
+        for n in range(4_000):
+            text = "".join(rng.choices(signs if n % 2 else signs[:8], k=rng.randrange(1, 12)))
+            assert alignment.segments_of(text, cut) == alignment._segments_by_rule(text, cut)
+
+
+def test_groups_are_told_once_for_a_segment(both, monkeypatch):
+    texts = ["one two", "two\nthree one", ""]
+    segments = list(dict.fromkeys(s for t in texts if t for s in alignment.segments_of(t, both.cut)))
+    codes, _ = zip(*both.align(segments), strict=True)
+    written_as = [str(i) for i in range(60_000)]
+    told = [alignment.groups_of(c, written_as) for c in codes]
+    n = len(segments)
+    columns = {"block": [5] * n, "first": [1] * n, "place": range(n), "code": [alignment._told(c, written_as) for c in codes], "n_best": [1] * n, "count_sum": [10] * n}
+    # a block's documents are put together without telling anything again
+    monkeypatch.setattr(alignment, "groups_of", None)
+    batches = list(alignment._packed(iter(pa.RecordBatch.from_pydict(columns).slice(at, 2) for at in range(0, n, 2))))
+    docs = pa.table({"doc_id": [7, 8, 9], "text": texts, "block": [5] * 3, "pos": pa.array([1, 2, 3], pa.int32())})
+    rows = {r["doc_id"]: r for r in alignment._composed(both.cut)(docs, pa.Table.from_batches(batches)).to_pylist()}
+    for doc, text in zip((7, 8, 9), texts, strict=True):
+        own = [told[segments.index(s)] for s in alignment.segments_of(text, both.cut)] if text else []
+        assert rows[doc]["groups"] == ";".join(t[4] for t in own)
+        assert [rows[doc][c] for c in ("n_a", "n_b", "n_groups", "n_links")] == [sum(t[k] for t in own) for k in range(4)]
+        assert (rows[doc]["n_best"], rows[doc]["count_sum"]) == (len(own), 10 * len(own))
+
+
 def test_alignment_equals_brute_force(spark, both):
     rows = [(i, t) for i, t in enumerate(odd_texts())]
     extra = [r for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 600").select("doc_id", "text").limit(40).collect()]
